@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import chain
+from collections.abc import Callable
 
 
 class Chunks(dict):
@@ -11,23 +11,35 @@ class Chunks(dict):
     Bounded, so a worker's memory doesn't grow with the corpus; what is dropped is worked out again.
     """
 
-    def __init__(self, most: int = 250_000) -> None:
+    def __init__(self, most: int = 500_000) -> None:
         super().__init__()
         self.most, self.old = most, {}
 
-    def missing(self, many: list[list[str]]) -> list[str]:
-        """Distinct chunks with no value yet; those of the older generation are taken over."""
-        old, out = self.old, []
-        for c in set(chain.from_iterable(many)).difference(self):
+    def look(self, many: list[list[str]], learn: Callable[[list[str]], None], first: dict | None = None) -> list[list]:
+        """Values of the chunks of each list; learn(new) has to set those of chunks that aren't held.
+
+        first: a table that is asked before this cache.
+        """
+        get = (self if first is None else first).get
+        found = [list(map(get, cs)) for cs in many]
+        holes = [(k, [i for i, v in enumerate(f) if v is None]) for k, f in enumerate(found) if None in f]
+        wanted = {many[k][i] for k, at in holes for i in at}
+        if first is not None:
+            wanted.difference_update(self)
+        new, old = [], self.old
+        for c in wanted:
             v = old.get(c)
             if v is None:
-                out.append(c)
+                new.append(c)
             else:
                 self[c] = v
-        return out
-
-    def turn(self) -> None:
-        """Call between batches."""
+        if new:
+            learn(new)
+        for k, at in holes:
+            f, cs = found[k], many[k]
+            for i in at:
+                f[i] = self[cs[i]]
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
+        return found

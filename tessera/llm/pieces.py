@@ -34,7 +34,7 @@ _models: dict[str, PieceModel] = {}
 class PieceModel:
     """A merge-type model: encode_chunk by agenda, decode by pieces, library() the checker."""
 
-    def __init__(self, path: str, keep: int = 200_000) -> None:
+    def __init__(self, path: str, keep: int = 350_000) -> None:
         import sentencepiece
 
         self.lib = lib = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -53,7 +53,7 @@ class PieceModel:
         self.surface = {i: p.replace(_MARK, " ") for p, i in self.id.items()} | {i: "" for i in range(n) if lib.is_control(i)}
         self.byte_of = {i: b for b, i in enumerate(self.bytes)} if self.fallback else {}
         self.lines = not any("\n" in p for p in self.id)  # then nothing is joined over a line feed
-        self.cache, self.decoded = Chunks(keep), {}
+        self.cache = Chunks(keep)
 
     def encode_chunk(self, chunk: str) -> list[int]:
         ids = self.id
@@ -134,9 +134,8 @@ class PieceModel:
     def chunk(key: str) -> str:
         return key[1:] if key[:1] == "\x01" else key if key[:1] == "\n" else _MARK + key
 
-    def learn(self, many: list[list[str]]) -> None:
-        """Encode the chunks that aren't cached and hold all of them against the library."""
-        new = self.cache.missing(many)
+    def learn(self, new: list[str]) -> None:
+        """Encode new chunks and hold all of them against the library."""
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             chunks = [self.chunk(c) for c in part]
@@ -146,13 +145,7 @@ class PieceModel:
                 ids = self.encode_chunk(c)
                 if (ids if c[0] == _MARK else [self.id[_MARK], *ids]) != e and c != _MARK:
                     raise AssertionError(f"the library encodes {c!r} as {e}, the agenda as {ids}")
-                self.cache[key] = ",".join(map(str, ids))
-                self.decoded[key] = (" " if c[0] == _MARK else "") + self.decode(ids)
-
-    def found(self, keys: list[str]) -> tuple[str, str]:
-        """Ids and decoded text of a text whose chunks are learnt; the first mark is no part of the text."""
-        ids, text = ",".join(map(self.cache.__getitem__, keys)), "".join(map(self.decoded.__getitem__, keys))
-        return ids, text[1:]
+                self.cache[key] = (",".join(map(str, ids)), (" " if c[0] == _MARK else "") + self.decode(ids))
 
 
 def _utf8(run: bytearray) -> str:
@@ -176,12 +169,9 @@ def model(path: str) -> PieceModel:
 
 def _joined(m: PieceModel, texts: list[str]) -> Iterator[tuple[str, str]]:
     """Ids (as decimal text with commas) and decoded text of each text."""
-    many = [m.chunks(t) for t in texts]
-    m.learn(many)
-    yield from map(m.found, many)
-    m.cache.turn()
-    if not m.cache:
-        m.decoded = {c: m.decoded[c] for c in m.cache.old}
+    for found in m.cache.look([m.chunks(t) for t in texts], m.learn):
+        # a text's first mark is no part of it
+        yield ",".join([f[0] for f in found]), "".join([f[1] for f in found])[1:]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -43,7 +43,7 @@ _counters: dict[str, Counter_] = {}
 class Counter_:
     """Tokens of texts under a tokenizers file whose pre-tokens don't join over white space."""
 
-    def __init__(self, path: str, keep: int = 250_000) -> None:
+    def __init__(self, path: str, keep: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,26 +68,14 @@ class Counter_:
 
     def count(self, texts: list[str], frequent: dict[str, int]) -> list[int]:
         many = [self.pretokens(t) for t in texts]
-        new = [c for c in self.cache.missing([cs for cs, _ in many]) if c not in frequent]
+        found = self.cache.look([cs for cs, _ in many], self.learn, frequent)
+        return [n + sum(f) for (_, n), f in zip(many, found, strict=True)]
+
+    def learn(self, new: list[str]) -> None:
         for i in range(0, len(new), 2048):
             part = new[i : i + 2048]
             for c, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.cache[c] = len(e.ids)
-        table = _Tiers(frequent, self.cache)
-        out = [n + sum(map(table.__getitem__, cs)) for cs, n in many]
-        self.cache.turn()
-        return out
-
-
-class _Tiers(dict):
-    """The frequent table, with the worker's cache behind it."""
-
-    def __init__(self, first: dict, second: dict) -> None:
-        super().__init__(first)
-        self.second = second
-
-    def __missing__(self, key):
-        return self.second[key]
 
 
 def counter(path: str) -> Counter_:

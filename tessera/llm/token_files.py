@@ -50,7 +50,7 @@ _encoders: dict[str, ByteLevelEncoder] = {}
 class ByteLevelEncoder:
     """Ids of whole texts as the tokenizers library gives them, each distinct chunk being encoded once a worker."""
 
-    def __init__(self, path: str, keep: int = 250_000) -> None:
+    def __init__(self, path: str, keep: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -81,17 +81,13 @@ class ByteLevelEncoder:
     def encode(self, texts: list[str], end: int | None) -> list[bytes]:
         """The ids of each text as bytes of self.kind, with `end` appended."""
         tail = b"" if end is None else np.array([end], self.kind).tobytes()
-        many, out = [self.chunks(t) for t in texts], []
-        new = self.cache.missing(many)
+        return [b"".join(x) + tail for x in self.cache.look([self.chunks(t) for t in texts], self.learn)]
+
+    def learn(self, new: list[str]) -> None:
         for i in range(0, len(new), 2048):
             part = new[i : i + 2048]
             for c, e in zip(part, self.lib.encode_batch_fast([self.chunk(c) for c in part], add_special_tokens=False), strict=True):
                 self.cache[c] = np.array(e.ids, self.kind).tobytes()
-        get = self.cache.__getitem__
-        for cs in many:
-            out.append(b"".join(map(get, cs)) + tail)
-        self.cache.turn()
-        return out
 
 
 def encoder(path: str) -> ByteLevelEncoder:
