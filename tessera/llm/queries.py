@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from .decontaminate import op5_decontaminate
 from .pieces import op2_sentencepiece
 from .token_counts import op6_token_counts
 from .token_files import op1_token_files
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_sentencepiece, op6_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_sentencepiece, op5_decontaminate, op6_token_counts)}
 ORACLE_SQL: dict[str, str] = {}

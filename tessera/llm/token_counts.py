@@ -72,10 +72,16 @@ class Counter_:
         return [n + sum(f) for (_, n), f in zip(many, found, strict=True)]
 
     def learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 2048):
-            part = new[i : i + 2048]
-            for c, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[c] = len(e.ids)
+        """Many pre-tokens go to the library as one text, with a special string between them if the vocabulary has one."""
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            if self.strings:
+                mark = self.strings[0]
+                ids = np.array(self.lib.encode_batch_fast([mark.join(part)], add_special_tokens=False)[0].ids)
+                ends = np.append(np.flatnonzero(ids == self.lib.token_to_id(mark)), len(ids))
+                self.cache.update(zip(part, (np.diff(ends, prepend=-1) - 1).tolist(), strict=True))
+            else:
+                self.cache.update(zip(part, [len(e.ids) for e in self.lib.encode_batch_fast(part, add_special_tokens=False)], strict=True))
 
 
 def counter(path: str) -> Counter_:

@@ -84,10 +84,22 @@ class ByteLevelEncoder:
         return [b"".join(x) + tail for x in self.cache.look([self.chunks(t) for t in texts], self.learn)]
 
     def learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 2048):
-            part = new[i : i + 2048]
-            for c, e in zip(part, self.lib.encode_batch_fast([self.chunk(c) for c in part], add_special_tokens=False), strict=True):
-                self.cache[c] = np.array(e.ids, self.kind).tobytes()
+        """Many chunks go to the library as one text, with a special string between them: such strings part a text."""
+        chunk, width = self.chunk, self.kind.itemsize
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            texts = list(map(chunk, part))
+            if self.special.isdisjoint(texts) and self.special:
+                mark = min(self.special)
+                ids = np.array(self.lib.encode_batch_fast([mark.join(texts)], add_special_tokens=False)[0].ids, self.kind)
+                ends = [*np.flatnonzero(ids == self.lib.token_to_id(mark)).tolist(), len(ids)]
+                data, at = ids.tobytes(), 0
+                for c, end in zip(part, ends, strict=True):
+                    self.cache[c] = data[at * width : end * width]
+                    at = end + 1
+            else:
+                for c, e in zip(part, self.lib.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                    self.cache[c] = np.array(e.ids, self.kind).tobytes()
 
 
 def encoder(path: str) -> ByteLevelEncoder:
