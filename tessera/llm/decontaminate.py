@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import words
 from .common import raw, session, shared_dir, slices, staged, texts_of
@@ -31,7 +30,7 @@ SEGMENT_BYTES = 2 << 20
 #: Text of benchmark items that is sent to the executors at once.
 BLOCK_BYTES = 16 << 20
 _SEGMENTS = "doc_ids binary, nulls binary, n_words binary, terms binary, first binary, postings binary"
-_MATCHES = T.StructType.fromDDL("doc_id long, item_id string, start long, size long")
+_MATCHES = "doc_id long, item_id string, start long, size long"
 
 
 def _postings(data: np.ndarray, offsets: np.ndarray) -> dict:
@@ -200,7 +199,7 @@ def search(index: DataFrame, items: DataFrame, size: int = 10, slop: int | None
                     n = last - at + 1
                 if len(win):
                     d = s.document(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[d], mask=s.nulls[d]), pa.array([q.items[i] for i in q.item[win]]), pa.array(at - s.start[d]), pa.array(n)], names=_MATCHES.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[d], mask=s.nulls[d]), pa.array([q.items[i] for i in q.item[win]]), pa.array(at - s.start[d]), pa.array(n)], names=["doc_id", "item_id", "start", "size"])
 
         return index.mapInArrow(matches, _MATCHES)
 
