@@ -20,6 +20,7 @@ SLICE_BYTES = 1 << 20
 def session(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches and let Spark drop a query's shuffle files when the query ends."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
