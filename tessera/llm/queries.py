@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .decontaminate import op5_decontaminate
+from .near_dups import op9_near_dups
 from .pieces import op2_sentencepiece
 from .substrings import op8_substrings
 from .token_counts import op6_token_counts
 from .token_files import op1_token_files
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_sentencepiece, op5_decontaminate, op6_token_counts, op8_substrings)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_sentencepiece, op5_decontaminate, op6_token_counts, op8_substrings, op9_near_dups)}
 ORACLE_SQL: dict[str, str] = {}
