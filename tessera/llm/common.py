@@ -58,6 +58,13 @@ def staged(df: DataFrame, path: str, *partition: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """docs without the rows whose doc_id is in gone. The ids become a table first: Spark broadcasts it if its size
+    is below the session's threshold, and joins by shuffle beyond."""
+    ids = staged(gone.select("doc_id").distinct(), shared_dir(docs.sparkSession, name))
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+
+
 def tasks_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import raw, session, shared_dir, slices, staged, tasks_for, texts_of
+from .common import raw, session, shared_dir, slices, staged, tasks_for, texts_of, without
 from .components import components
 
 U64 = np.uint64
@@ -307,5 +307,15 @@ def _count_only(k: int):
     return run
 
 
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group: that with the smallest doc_id, in one row; null ids stay."""
+    spark = session(docs.sparkSession)
+    repeated = staged(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), shared_dir(spark, "repeated"))
+    if not repeated.isEmpty():
+        once = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+        docs = staged(docs.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once), shared_dir(spark, "one-row"))
+    return without(docs, groups(docs, k, percent).where("not kept").select("doc_id"), "near-dups-out")
+
+
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=80)

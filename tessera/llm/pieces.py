@@ -18,6 +18,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -176,21 +177,42 @@ def _joined(m: PieceModel, texts: list[str]) -> Iterator[tuple[str, str]]:
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a column of piece ids (array of int); no shuffle."""
-    return _with(docs, path, text, ids, T.ArrayType(T.IntegerType(), False), lambda m, texts: [[int(i) for i in s.split(",")] if s else [] for s, _ in _joined(m, texts)], pa.list_(pa.int32()))
+    return _with(docs, path, text, ids, T.ArrayType(T.IntegerType(), False), lambda m, texts: _lists([s for s, _ in _joined(m, texts)]))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """docs with the text of a column of piece ids; null ids decode to an empty text."""
-    return _with(docs, path, ids, text, T.StringType(), lambda m, many: [m.decode(x or []) for x in many], pa.string())
+    return _with(docs, path, ids, text, T.StringType(), lambda m, many: pa.array([m.decode(x or []) for x in many], pa.string()))
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs whose text has been encoded and decoded again (null stays null)."""
-    made = _with(docs, path, text, "__decoded", T.StringType(), lambda m, texts: [d for _, d in _joined(m, texts)], pa.string())
-    return made.withColumn(text, F.when(F.col(text).isNotNull(), F.col("__decoded"))).drop("__decoded")
+def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """docs with a column of piece ids, and the text as decoded from them (null stays null); one pass, no shuffle."""
+    session(docs.sparkSession)
+    kept = [c for c in docs.columns if c != ids]
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    at = kept.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path)
+        for b in batches:
+            for i in range(0, len(b), 256):
+                part = b.slice(i, 256)
+                found = list(_joined(m, texts_of(part.column(at)).to_pylist()))
+                columns, null = list(part.columns), part.column(at).is_null().to_pylist()
+                columns[at] = pa.array([None if x else d for (_, d), x in zip(found, null, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, _lists([s for s, _ in found])], names=[*part.schema.names, ids])
+
+    return docs.select(*kept).mapInArrow(run, schema)
+
+
+def _lists(decimals: list[str]) -> pa.Array:
+    """Lists of ids from decimal texts with commas."""
+    values = [np.fromstring(s, np.int32, sep=",") if s else np.zeros(0, np.int32) for s in decimals]
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
 
 
-def _with(docs: DataFrame, path: str, source: str, target: str, kind: T.DataType, f, arrow: pa.DataType) -> DataFrame:
+def _with(docs: DataFrame, path: str, source: str, target: str, kind: T.DataType, f) -> DataFrame:
     session(docs.sparkSession)
     kept = [c for c in docs.columns if c != target]
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(target, kind)])
@@ -203,7 +225,7 @@ def _with(docs: DataFrame, path: str, source: str, target: str, kind: T.DataType
                 part = b.slice(i, 256)
                 c = part.column(at)
                 values = c.to_pylist() if pa.types.is_list(c.type) or pa.types.is_large_list(c.type) else texts_of(c).to_pylist()
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(f(m, values), arrow)], names=[*part.schema.names, target])
+                yield pa.RecordBatch.from_arrays([*part.columns, f(m, values)], names=[*part.schema.names, target])
 
     return docs.select(*kept).mapInArrow(run, schema)
 

@@ -361,6 +361,19 @@ def dedup(docs: DataFrame, size: int = 50, gram: int = 5, batches: int = 1) -> D
     return out
 
 
+def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
+    """docs without the words of repeated passages; a text that loses words has its others joined by one space.
+
+    Rows with a null doc_id, and all but one row of a repeated doc_id, keep their text.
+    """
+    found = dedup(docs, size).where("n_removed > 0 and doc_id is not null").select("doc_id", F.col("kept").alias("__kept"))
+    changed = staged(found.dropDuplicates(["doc_id"]), shared_dir(docs.sparkSession, "passages-out"))
+    joined = docs.join(changed, "doc_id", "left").withColumn("text", F.coalesce("__kept", "text"))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return joined.select(*docs.columns)
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=13, gram=5, batches=2)
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
