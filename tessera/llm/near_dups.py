@@ -15,8 +15,8 @@ the chance to miss a pair at the threshold below 1e-4 a level:
     3       256    12      10             (1 - 0.8**10)**256 = 3e-13
 
 Candidates pass a check on 32 one-byte labels (a pair at the threshold fails it with a chance of 2e-6) and are
-then confirmed on full sets of 64-bit shingle hashes. Links inside a component that is already known aren't
-confirmed again, so a group of n near copies takes about n confirmations.
+then confirmed on full sets of 64-bit shingle hashes. Next neighbours in the first EARLY trees are confirmed first; from then
+on only pairs between different known components are candidates, so a group of n near copies takes about n confirmations.
 
 Orders are dealt by ranges that include the doc_id, so a region of any size is split; neighbours that a range's
 end parts are compared in a second pass over the ends alone.
@@ -128,18 +128,19 @@ def _orders(m: np.ndarray, ids: np.ndarray, parts: np.ndarray, trees: int, depth
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, np.int32)), pa.array(hi), pa.array(lo), pa.array(ids), pa.array(parts), pa.array(sig, pa.binary())], names=["tree", "hi", "lo", "id", "part", "sig"])
 
 
-def _neighbours(reach: int, least: int, ends: bool):
-    """Candidate pairs of rows sorted by (tree, hi, lo, id). Rows out: pairs (a, b, early), classes in regions that
-    the reach doesn't span (a, dense), and, with ends, the rows at the range's two ends for the second pass."""
+def _neighbours(reach: int, least: int, ends: bool, first: bool):
+    """Candidate pairs of rows sorted by (tree, hi, lo, id). Rows out: pairs (a, b) of different parts, classes in
+    regions that the reach doesn't span (a, dense), and, with ends, the rows at the range's two ends for the second
+    pass. With first, only next neighbours in EARLY trees are pairs; other classes with a neighbour are (a) alone."""
     take = min(least, 4)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("early", pa.bool_()), ("dense", pa.bool_()), ("tree", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("part", pa.int64()), ("sig", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("dense", pa.bool_()), ("tree", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("part", pa.int64()), ("sig", pa.binary())])
 
-    def out(a, b=None, early=None, dense=None, rows=None):
+    def out(a, b=None, dense=None, rows=None):
         n = len(a)
         none = [pa.nulls(n, f.type) for f in schema]
-        cols = [pa.array(a, pa.int64()), none[1] if b is None else pa.array(b), none[2] if early is None else pa.array(early), none[3] if dense is None else pa.array(dense), *none[4:]]
+        cols = [pa.array(a, pa.int64()), none[1] if b is None else pa.array(b), none[2] if dense is None else pa.array(dense), *none[3:]]
         if rows is not None:
-            cols[4:] = [rows.column(c) for c in ("tree", "hi", "lo", "part", "sig")]
+            cols[3:] = [rows.column(c) for c in ("tree", "hi", "lo", "part", "sig")]
         return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,16 +159,21 @@ def _neighbours(reach: int, least: int, ends: bool):
             same = hi >> (16 * (4 - take))
             deeper = lo.view(U64) >> U64(16 * (4 - min(4, max(0, least - 4)))) if least > 4 else np.zeros(len(lo), U64)
             alike = lambda s: (tree[s:] == tree[:-s]) & (same[s:] == same[:-s]) & (deeper[s:] == deeper[:-s])
-            near_other = np.zeros(len(ids), bool)
+            near_other, seen = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
             for s in range(1, min(reach, len(ids) - 1) + 1):
                 i = np.flatnonzero(alike(s) & (part[s:] != part[:-s]))
                 i = i[i + s >= old]
                 near_other[i] = near_other[i + s] = True
                 i = i[(sig[i] == sig[i + s]).sum(axis=1) >= AGREE]
+                if first:
+                    seen[i] = seen[i + s] = True
+                    i = i[(tree[i] < EARLY) & (s == 1)]
                 if len(i):
                     x, y = ids[i], ids[i + s]
-                    yield out(np.minimum(x, y), np.maximum(x, y), (tree[i] < EARLY) & (s == 1))
-            if len(ids) > reach + 1:
+                    yield out(np.minimum(x, y), np.maximum(x, y))
+            if seen.any():
+                yield out(np.unique(ids[seen]))
+            if len(ids) > reach + 1 and not first:
                 i = np.flatnonzero(alike(reach + 1))
                 i = i[i + reach + 1 >= old]
                 far = np.unique(np.concatenate([ids[i][near_other[i]], ids[i + reach + 1][near_other[i + reach + 1]]]))
@@ -178,21 +184,21 @@ def _neighbours(reach: int, least: int, ends: bool):
         if ends and held is not None:
             yield out(held["id"].to_numpy(), rows=held)
 
-    return run, "a long, b long, early boolean, dense boolean, tree int, hi long, lo long, part long, sig binary"
+    return run, "a long, b long, dense boolean, tree int, hi long, lo long, part long, sig binary"
 
 
-def candidates(orders: DataFrame, level: int, path: str) -> DataFrame:
-    """Pairs (a, b, early) and dense classes (a, dense) of one forest."""
+def candidates(orders: DataFrame, level: int, path: str, first: bool = False) -> DataFrame:
+    """Pairs (a, b), dense classes (a, dense) and, with first, classes with a neighbour (a) of one forest."""
     spark = orders.sparkSession
     _, _, least, reach = LEVELS[level]
     least = min(least, 8)
-    run, schema = _neighbours(reach, least, True)
+    run, schema = _neighbours(reach, least, True, first)
     dealt = orders.repartitionByRange(tasks_for(spark), "tree", "hi", "lo", "id").sortWithinPartitions("tree", "hi", "lo", "id")
-    made = staged(dealt.mapInArrow(run, schema), f"{path}/neighbours-{level}")
-    run, _ = _neighbours(reach, least, False)
+    made = staged(dealt.mapInArrow(run, schema), f"{path}/neighbours-{level}{'-first' if first else ''}")
+    run, _ = _neighbours(reach, least, False, first)
     at_ends = made.where("tree is not null").select("tree", "hi", "lo", F.col("a").alias("id"), "part", "sig").distinct()  # 2 * (reach + 1) rows a range
     second = at_ends.coalesce(1).sortWithinPartitions("tree", "hi", "lo", "id").mapInArrow(run, schema)
-    return made.where("tree is null").unionAll(second).select("a", "b", "early", "dense")
+    return made.where("tree is null").unionAll(second).select("a", "b", "dense")
 
 
 def sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -241,21 +247,24 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     def first_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u2")
-            ids = b.column(0).to_numpy()
-            yield from _orders(m, ids, ids, trees, depth)
+            yield from _orders(m, b.column(0).to_numpy(), b.column(2).to_numpy(), trees, depth)
 
+    # next neighbours in a few trees are confirmed first, so that groups of near copies are one part afterwards
     one_row = classes.select("id", "labels").dropDuplicates(["id"])
-    orders = staged(one_row.mapInArrow(first_orders, _ORDER), f"{path}/orders-0")
+    orders = staged(one_row.withColumn("part", F.col("id")).mapInArrow(first_orders, _ORDER), f"{path}/orders-first")
+    found = staged(candidates(orders, 0, path, first=True), f"{path}/candidates-first")
+    pairs = found.where("b is not null").select("a", "b").distinct()
+    hashes = staged(sets(docs, found.select(F.col("a").alias("id")).unionAll(found.where("b is not null").select(F.col("b").alias("id"))).distinct(), k), f"{path}/sets")
+    links = staged(confirm(pairs, hashes, percent), f"{path}/links-first")
+    known = components(links, f"{path}/first")
+    # then all trees, between different parts
+    parted = one_row.join(known.withColumnRenamed("node", "id"), "id", "left").select("id", "labels", F.coalesce("component", "id").alias("part"))
+    orders = staged(parted.mapInArrow(first_orders, _ORDER), f"{path}/orders-0")
     found = staged(candidates(orders, 0, path), f"{path}/candidates-0")
-    pairs = staged(found.where("b is not null").groupBy("a", "b").agg(F.max("early").alias("early")), f"{path}/pairs-0")
+    pairs = found.where("b is not null").select("a", "b").distinct()
+    links = links.unionAll(staged(confirm(pairs, hashes, percent), f"{path}/links-0"))
+    known = components(links, f"{path}/level-0")
     dense = found.where("dense").select(F.col("a").alias("id")).distinct()
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).unionAll(dense).distinct()
-    hashes = staged(sets(docs, ids, k), f"{path}/sets")
-    links = staged(confirm(pairs.where("early"), hashes, percent), f"{path}/links-early")
-    known = _components(links, f"{path}/early")
-    rest = _apart(pairs.where("not early"), known)
-    links = links.unionAll(staged(confirm(rest, hashes, percent), f"{path}/links-0"))
-    known = _components(links, f"{path}/level-0")
     for level in range(1, len(LEVELS)):
         if dense.isEmpty():
             break
@@ -278,7 +287,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         dense = found.where("dense").select(F.col("a").alias("id")).distinct()
         if not made.isEmpty():
             links = links.unionAll(made)
-            known = _components(links, f"{path}/level-{level}")
+            known = components(links, f"{path}/level-{level}")
     of_set = classes.select("same", F.col("id").alias("class"))
     rows = drawn.select("doc_id", "n_shingles", "same").join(of_set, "same", "left").join(known.withColumnRenamed("node", "class"), "class", "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
@@ -286,17 +295,6 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return rows.unionAll(no_id).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _components(links: DataFrame, path: str) -> DataFrame:
-    return components(links, path)
-
-
-def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs whose ends aren't in one known component."""
-    a, b = (known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-    joined = pairs.join(a, "a", "left").join(b, "b", "left")
-    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def _count_only(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
