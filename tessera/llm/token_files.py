@@ -44,13 +44,15 @@ _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: White space other than the space and the line feed; characters that mark chunks in the cache.
 _RARE = re.compile("[\x00\x01\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
+_MARKS = frozenset(".,!?;:")
+
 _encoders: dict[str, ByteLevelEncoder] = {}
 
 
 class ByteLevelEncoder:
     """Ids of whole texts as the tokenizers library gives them, each distinct chunk being encoded once a worker."""
 
-    def __init__(self, path: str, keep: int = 500_000) -> None:
+    def __init__(self, path: str, keep: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,7 +64,7 @@ class ByteLevelEncoder:
         self.strings = list(added)
         self.kind = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache = Chunks(keep)
-        self.special = set(added)
+        self.special, self.marks = set(added), {}
 
     def chunks(self, text: str) -> list[str]:
         """The cache's keys for a text: \x01 and a chunk; in texts with single spaces and line feeds only, a word
@@ -84,6 +86,26 @@ class ByteLevelEncoder:
         return [b"".join(x) + tail for x in self.cache.look([self.chunks(t) for t in texts], self.learn)]
 
     def learn(self, new: list[str]) -> None:
+        """A word of Latin letters with one mark behind it has the word's ids, then the mark's: the rule parts them."""
+        cache, old, ends, words = self.cache, self.cache.old, [], set()
+        for c in new:
+            word = c[:-1]
+            if c[-1:] in _MARKS and word.isalpha() and max(word) < "\u0250":
+                ends.append((c, word))
+                if word not in cache:
+                    if (v := old.get(word)) is not None:
+                        cache[word] = v
+                    else:
+                        words.add(word)
+            else:
+                words.add(c)
+        if ends and not self.marks:
+            self.marks = {m: np.array(self.lib.encode(m, add_special_tokens=False).ids, self.kind).tobytes() for m in _MARKS}
+        self.learn_chunks(list(words))
+        for c, word in ends:
+            cache[c] = cache[word] + self.marks[c[-1]]
+
+    def learn_chunks(self, new: list[str]) -> None:
         """Many chunks go to the library as one text, with a special string between them: such strings part a text."""
         chunk, width = self.chunk, self.kind.itemsize
         for i in range(0, len(new), 4096):
@@ -173,8 +195,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int | None = 0, tex
             return row
 
         for b in batches:
-            for i in range(0, len(b), 256):
-                part = b.slice(i, 256)
+            for i in range(0, len(b), 1000):
+                part = b.slice(i, 1000)
                 keys = part.column(0)
                 made = enc.encode(texts_of(part.column(1)).to_pylist(), end)
                 nulls += keys.null_count
