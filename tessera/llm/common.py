@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import reachable
+
 #: Rows an Arrow batch to Python holds at most, so that batches of long texts stay small.
 ARROW_ROWS = 1000
 #: Bytes of text the NumPy kernels take at once.
@@ -19,6 +21,7 @@ SLICE_BYTES = 1 << 20
 
 def session(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches and let Spark drop a query's shuffle files when the query ends."""
+    reachable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")

@@ -7,15 +7,15 @@ common prefix of `least` labels or more, among the next `reach` in the order. Wh
 whole region; where it is dense, the order itself takes the neighbours with the longest prefixes, so depth
 adapts to the region and work stays linear. Classes whose reach was too short to see a whole region (and that
 have neighbours of other components there) go on to a forest of more and deeper trees (LEVELS), which keeps
-the chance to miss a pair at the threshold below 1e-4 a level:
+the chance to miss a pair at the threshold (0.8) small:
 
     level   trees  labels  least prefix   chance to miss a pair of similarity 0.8
     1       16     8       3              (1 - 0.8**3)**16  = 1e-5
     2       64     8       6              (1 - 0.8**6)**64  = 4e-9
     3       256    12      10             (1 - 0.8**10)**256 = 3e-13
 
-Candidates pass a check on 32 one-byte labels (a pair at the threshold fails it with a chance of 2e-6) and are
-then confirmed on full sets of 64-bit shingle hashes. Next neighbours in the first EARLY trees are confirmed first; from then
+Candidates pass a check on 64 one-byte labels of other trees (a pair at the threshold passes it with a chance of 0.95,
+anew in each of the trees that bring it together, so level 1 misses it with a chance of 2e-5) and are then confirmed on full sets of 64-bit shingle hashes. Next neighbours in the first EARLY trees are confirmed first; from then
 on only pairs between different known components are candidates, so a group of n near copies takes about n confirmations.
 
 Orders are dealt by ranges that include the doc_id, so a region of any size is split; neighbours that a range's
@@ -43,8 +43,8 @@ from .components import components
 U64 = np.uint64
 #: trees, labels of each, least common prefix, neighbours looked at.
 LEVELS = ((16, 8, 3, 8), (64, 8, 6, 16), (256, 12, 10, 32))
-#: One-byte labels of the check, and how many have to agree.
-CHECK, AGREE = 32, 14
+#: One-byte labels of the check, taken from the eight trees after a row's own, and how many have to agree.
+CHECK, AGREE = 64, 46
 #: Trees whose next neighbours are confirmed first.
 EARLY = 4
 _ORDER = "tree int, hi long, lo long, id long, part long, sig binary"
@@ -113,11 +113,11 @@ def _rows(docs: DataFrame) -> DataFrame:
 def _orders(m: np.ndarray, ids: np.ndarray, parts: np.ndarray, trees: int, depth: int) -> Iterator[pa.RecordBatch]:
     """The rows of all trees for some classes. hi holds a tree's first four labels, lo four more."""
     m = m.reshape(len(ids), trees, depth).astype(np.int64)
-    sig = m[:, :: max(1, trees // 16), :2].reshape(len(ids), -1)[:, :CHECK].astype(np.uint8)
-    sig = [x.tobytes() for x in sig]
+    low = (m & 0xFF).astype(np.uint8)
     place = np.array([48, 32, 16, 0])
     first = m[:, :, : depth - 8] if depth > 8 else None
     for t in range(trees):
+        sig = [x.tobytes() for x in low[:, (t + 1 + np.arange(8)) % trees, :8].reshape(len(ids), CHECK)]
         l = m[:, t, -8:]
         if first is not None:  # labels beyond eight are folded into the first
             h = words.mix(np.bitwise_xor.reduce(words.mix(first[:, t].astype(U64) + (np.arange(first.shape[2], dtype=U64) << U64(20))), axis=1))
