@@ -253,15 +253,16 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     one_row = classes.select("id", "labels").dropDuplicates(["id"])
     orders = staged(one_row.withColumn("part", F.col("id")).mapInArrow(first_orders, _ORDER), f"{path}/orders-first")
     found = staged(candidates(orders, 0, path, first=True), f"{path}/candidates-first")
-    pairs = found.where("b is not null").select("a", "b").distinct()
+    tested = staged(found.where("b is not null").select("a", "b").distinct(), f"{path}/pairs-first")
     hashes = staged(sets(docs, found.select(F.col("a").alias("id")).unionAll(found.where("b is not null").select(F.col("b").alias("id"))).distinct(), k), f"{path}/sets")
-    links = staged(confirm(pairs, hashes, percent), f"{path}/links-first")
+    links = staged(confirm(tested, hashes, percent), f"{path}/links-first")
     known = components(links, f"{path}/first")
     # then all trees, between different parts
     parted = one_row.join(known.withColumnRenamed("node", "id"), "id", "left").select("id", "labels", F.coalesce("component", "id").alias("part"))
     orders = staged(parted.mapInArrow(first_orders, _ORDER), f"{path}/orders-0")
     found = staged(candidates(orders, 0, path), f"{path}/candidates-0")
-    pairs = found.where("b is not null").select("a", "b").distinct()
+    pairs = staged(_untested(found, tested), f"{path}/pairs-0")
+    tested = tested.unionAll(pairs)
     links = links.unionAll(staged(confirm(pairs, hashes, percent), f"{path}/links-0"))
     known = components(links, f"{path}/level-0")
     dense = found.where("dense").select(F.col("a").alias("id")).distinct()
@@ -282,7 +283,8 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         own = hashes.join(dense, "id", "left_semi").join(known.withColumnRenamed("node", "id"), "id", "left")
         orders = staged(own.select("id", "hashes", F.coalesce("component", "id").alias("part")).mapInArrow(more_orders, _ORDER), f"{path}/orders-{level}")
         found = staged(candidates(orders, level, path), f"{path}/candidates-{level}")
-        rest = staged(found.where("b is not null").select("a", "b").distinct(), f"{path}/pairs-{level}")
+        rest = staged(_untested(found, tested), f"{path}/pairs-{level}")
+        tested = tested.unionAll(rest)
         made = staged(confirm(rest, hashes, percent), f"{path}/links-{level}")
         dense = found.where("dense").select(F.col("a").alias("id")).distinct()
         if not made.isEmpty():
@@ -295,6 +297,10 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return rows.unionAll(no_id).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _untested(found: DataFrame, tested: DataFrame) -> DataFrame:
+    return found.where("b is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+
+
 def _count_only(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
