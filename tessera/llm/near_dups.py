@@ -15,7 +15,7 @@ the chance to miss a pair at the threshold (0.8) small:
     3       256    12      10             (1 - 0.8**10)**256 = 3e-13
 
 Candidates pass a check on 64 one-byte labels of other trees (a pair at the threshold passes it with a chance of 0.95,
-anew in each of the trees that bring it together, so level 1 misses it with a chance of 2e-5) and are then confirmed on full sets of 64-bit shingle hashes. Next neighbours in the first EARLY trees are confirmed first; from then
+anew in each of the trees that bring it together, so level 1 misses it with a chance of 2e-5; deeper levels ask for more) and are then confirmed on full sets of 64-bit shingle hashes. Next neighbours in the first EARLY trees are confirmed first; from then
 on only pairs between different known components are candidates, so a group of n near copies takes about n confirmations.
 
 Orders are dealt by ranges that include the doc_id, so a region of any size is split; neighbours that a range's
@@ -41,10 +41,10 @@ from .common import raw, session, shared_dir, slices, staged, tasks_for, texts_o
 from .components import components
 
 U64 = np.uint64
-#: trees, labels of each, least common prefix, neighbours looked at.
-LEVELS = ((16, 8, 3, 8), (64, 8, 6, 16), (256, 12, 10, 32))
-#: One-byte labels of the check, taken from the eight trees after a row's own, and how many have to agree.
-CHECK, AGREE = 64, 46
+#: trees, labels of each, least common prefix, neighbours looked at, one-byte labels of the check that have to agree.
+LEVELS = ((16, 8, 3, 8, 46), (64, 8, 6, 16, 50), (256, 12, 10, 32, 50))
+#: One-byte labels of the check, taken from the eight trees after a row's own.
+CHECK = 64
 #: Trees whose next neighbours are confirmed first.
 EARLY = 4
 _ORDER = "tree int, hi long, lo long, id long, part long, sig binary"
@@ -128,10 +128,12 @@ def _orders(m: np.ndarray, ids: np.ndarray, parts: np.ndarray, trees: int, depth
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, np.int32)), pa.array(hi), pa.array(lo), pa.array(ids), pa.array(parts), pa.array(sig, pa.binary())], names=["tree", "hi", "lo", "id", "part", "sig"])
 
 
-def _neighbours(reach: int, least: int, ends: bool, first: bool):
+def _neighbours(level: int, ends: bool, first: bool):
     """Candidate pairs of rows sorted by (tree, hi, lo, id). Rows out: pairs (a, b) of different parts, classes in
     regions that the reach doesn't span (a, dense), and, with ends, the rows at the range's two ends for the second
     pass. With first, only next neighbours in EARLY trees are pairs; other classes with a neighbour are (a) alone."""
+    _, _, least, reach, agree = LEVELS[level]
+    least, last = min(least, 8), level == len(LEVELS) - 1
     take = min(least, 4)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("dense", pa.bool_()), ("tree", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("part", pa.int64()), ("sig", pa.binary())])
 
@@ -164,7 +166,7 @@ def _neighbours(reach: int, least: int, ends: bool, first: bool):
                 i = np.flatnonzero(alike(s) & (part[s:] != part[:-s]))
                 i = i[i + s >= old]
                 near_other[i] = near_other[i + s] = True
-                i = i[(sig[i] == sig[i + s]).sum(axis=1) >= AGREE]
+                i = i[(sig[i] == sig[i + s]).sum(axis=1) >= agree]
                 if first:
                     seen[i] = seen[i + s] = True
                     i = i[(tree[i] < EARLY) & (s == 1)]
@@ -173,7 +175,7 @@ def _neighbours(reach: int, least: int, ends: bool, first: bool):
                     yield out(np.minimum(x, y), np.maximum(x, y))
             if seen.any():
                 yield out(np.unique(ids[seen]))
-            if len(ids) > reach + 1 and not first:
+            if len(ids) > reach + 1 and not first and not last:
                 i = np.flatnonzero(alike(reach + 1))
                 i = i[i + reach + 1 >= old]
                 far = np.unique(np.concatenate([ids[i][near_other[i]], ids[i + reach + 1][near_other[i + reach + 1]]]))
@@ -190,12 +192,10 @@ def _neighbours(reach: int, least: int, ends: bool, first: bool):
 def candidates(orders: DataFrame, level: int, path: str, first: bool = False) -> DataFrame:
     """Pairs (a, b), dense classes (a, dense) and, with first, classes with a neighbour (a) of one forest."""
     spark = orders.sparkSession
-    _, _, least, reach = LEVELS[level]
-    least = min(least, 8)
-    run, schema = _neighbours(reach, least, True, first)
+    run, schema = _neighbours(level, True, first)
     dealt = orders.repartitionByRange(tasks_for(spark), "tree", "hi", "lo", "id").sortWithinPartitions("tree", "hi", "lo", "id")
     made = staged(dealt.mapInArrow(run, schema), f"{path}/neighbours-{level}{'-first' if first else ''}")
-    run, _ = _neighbours(reach, least, False, first)
+    run, _ = _neighbours(level, False, first)
     at_ends = made.where("tree is not null").select("tree", "hi", "lo", F.col("a").alias("id"), "part", "sig").distinct()  # 2 * (reach + 1) rows a range
     second = at_ends.coalesce(1).sortWithinPartitions("tree", "hi", "lo", "id").mapInArrow(run, schema)
     return made.where("tree is null").unionAll(second).select("a", "b", "dense")
@@ -211,7 +211,7 @@ def sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 g, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1], k)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([g[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["id", "hashes"])
 
-    needed = _rows(docs).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    needed = _rows(docs).join(ids.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")  # alike at every size
     return needed.mapInArrow(run, "id long, hashes binary").dropDuplicates(["id"])
 
 
