@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,23 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
+#: Folders made in each open scratch block, the innermost last.
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the shared folders made inside it, but for those made with keep: what leaves the block
+    must rest on kept tables alone."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
+
+
+def shared_dir(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share.
 
     Only a local session may lack that setting (as in tests); it gets a folder in the warehouse.
@@ -40,6 +57,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         root = spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
     path = f"{root.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
     atexit.register(_quietly_remove, spark, path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     return path
 
 
@@ -64,7 +83,7 @@ def staged(df: DataFrame, path: str, *partition: str) -> DataFrame:
 def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
     """docs without the rows whose doc_id is in gone. The ids become a table first: Spark broadcasts it if its size
     is below the session's threshold, and joins by shuffle beyond."""
-    ids = staged(gone.select("doc_id").distinct(), shared_dir(docs.sparkSession, name))
+    ids = staged(gone.select("doc_id").distinct(), shared_dir(docs.sparkSession, name, keep=True))
     return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
 
 

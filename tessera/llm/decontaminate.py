@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import raw, session, shared_dir, slices, staged, texts_of, without
+from .common import raw, scratch, session, shared_dir, slices, staged, texts_of, without
 
 SEGMENT_BYTES = 2 << 20
 #: Text of benchmark items that is sent to the executors at once.
@@ -263,9 +263,10 @@ def documents(index: DataFrame, items: DataFrame, size: int = 10, key: str = "it
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """docs without those that hold a window of an item; null ids stay."""
-    index = build(docs, shared_dir(session(docs.sparkSession), "postings"))
-    found = documents(index, items, size).where("n_hit > 0 and doc_id is not null")
-    return without(docs, found.select("doc_id"), "contaminated")
+    spark = session(docs.sparkSession)
+    with scratch(spark):
+        found = documents(build(docs, shared_dir(spark, "postings")), items, size).where("n_hit > 0 and doc_id is not null")
+        return without(docs, found.select("doc_id"), "contaminated")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import raw, session, shared_dir, slices, staged, texts_of, without
+from .common import raw, scratch, session, shared_dir, slices, staged, texts_of, without
 
 FIT_ROWS = 1000
 TABLE = 1 << 16
@@ -163,9 +163,10 @@ def document_rows(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs without those whose language can't be told; an id goes only if all its rows do, a null id stays."""
-    found = identify(document_rows(docs), fit(docs))
-    judged = found.where("key is not null").groupBy("key").agg(F.max("kept").alias("kept"))
-    return without(docs, judged.where("not kept").select(F.col("key").alias("doc_id")), "languages-out")
+    with scratch(docs.sparkSession):
+        found = identify(document_rows(docs), fit(docs))
+        judged = found.where("key is not null").groupBy("key").agg(F.max("kept").alias("kept"))
+        return without(docs, judged.where("not kept").select(F.col("key").alias("doc_id")), "languages-out")
 
 
 def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

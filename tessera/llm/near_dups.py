@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import raw, session, shared_dir, slices, staged, tasks_for, texts_of, without
+from .common import raw, remove, scratch, session, shared_dir, slices, staged, tasks_for, texts_of, without
 from .components import components
 
 U64 = np.uint64
@@ -252,7 +252,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # next neighbours in a few trees are confirmed first, so that groups of near copies are one part afterwards
     one_row = classes.select("id", "labels").dropDuplicates(["id"])
     orders = staged(one_row.withColumn("part", F.col("id")).mapInArrow(first_orders, _ORDER), f"{path}/orders-first")
-    found = staged(candidates(orders, 0, path, first=True), f"{path}/candidates-first")
+    found = _made(candidates(orders, 0, path, first=True), path, "0-first", "first")
     tested = staged(found.where("b is not null").select("a", "b").distinct(), f"{path}/pairs-first")
     hashes = staged(sets(docs, found.select(F.col("a").alias("id")).unionAll(found.where("b is not null").select(F.col("b").alias("id"))).distinct(), k), f"{path}/sets")
     links = staged(confirm(tested, hashes, percent), f"{path}/links-first")
@@ -260,7 +260,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # then all trees, between different parts
     parted = one_row.join(known.withColumnRenamed("node", "id"), "id", "left").select("id", "labels", F.coalesce("component", "id").alias("part"))
     orders = staged(parted.mapInArrow(first_orders, _ORDER), f"{path}/orders-0")
-    found = staged(candidates(orders, 0, path), f"{path}/candidates-0")
+    found = _made(candidates(orders, 0, path), path, "0", "0")
     pairs = staged(_untested(found, tested), f"{path}/pairs-0")
     tested = tested.unionAll(pairs)
     links = links.unionAll(staged(confirm(pairs, hashes, percent), f"{path}/links-0"))
@@ -282,7 +282,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
         own = hashes.join(dense, "id", "left_semi").join(known.withColumnRenamed("node", "id"), "id", "left")
         orders = staged(own.select("id", "hashes", F.coalesce("component", "id").alias("part")).mapInArrow(more_orders, _ORDER), f"{path}/orders-{level}")
-        found = staged(candidates(orders, level, path), f"{path}/candidates-{level}")
+        found = _made(candidates(orders, level, path), path, str(level), str(level))
         rest = staged(_untested(found, tested), f"{path}/pairs-{level}")
         tested = tested.unionAll(rest)
         made = staged(confirm(rest, hashes, percent), f"{path}/links-{level}")
@@ -297,6 +297,14 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return rows.unionAll(no_id).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _made(found: DataFrame, path: str, neighbours: str, name: str) -> DataFrame:
+    """found as a table; the orders and neighbours it was made from are removed."""
+    out = staged(found, f"{path}/candidates-{name}")
+    remove(found.sparkSession, f"{path}/neighbours-{neighbours}")
+    remove(found.sparkSession, f"{path}/orders-{name}")
+    return out
+
+
 def _untested(found: DataFrame, tested: DataFrame) -> DataFrame:
     return found.where("b is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
 
@@ -317,8 +325,9 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     repeated = staged(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), shared_dir(spark, "repeated"))
     if not repeated.isEmpty():
         once = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-        docs = staged(docs.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once), shared_dir(spark, "one-row"))
-    return without(docs, groups(docs, k, percent).where("not kept").select("doc_id"), "near-dups-out")
+        docs = staged(docs.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once), shared_dir(spark, "one-row", keep=True))
+    with scratch(spark):
+        return without(docs, groups(docs, k, percent).where("not kept").select("doc_id"), "near-dups-out")
 
 
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

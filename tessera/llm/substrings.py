@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import raw, remove, session, shared_dir, slices, staged, tasks_for, texts_of
+from .common import raw, remove, scratch, session, shared_dir, slices, staged, tasks_for, texts_of
 
 U64 = np.uint64
 UNIT_BYTES = 4 << 20
@@ -243,8 +243,9 @@ class SubstringLog:
         dealt = made.repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
         return staged(dealt.mapInArrow(merge, _BITS), self._table("later"))
 
-    def append(self, docs: DataFrame) -> DataFrame:
-        """Add a batch; returns doc_id, text, n_words, n_removed, kept (words left, joined by one space) of its rows."""
+    def append(self, docs: DataFrame, last: bool = False) -> DataFrame:
+        """Add a batch; returns doc_id, text, n_words, n_removed, kept (words left, joined by one space) of its rows.
+        After the last batch the runs are removed once they have been read: the log takes no more."""
         self.batches += 1
         new_from = self.batches << 44
         new = self._units(docs, tasks_for(self.spark))
@@ -252,6 +253,8 @@ class SubstringLog:
         self.units = new if units is None else units.unionByName(new)
         self.runs.append(self._run(new))
         shared = self._shared(new_from)
+        if last:
+            self._remove_runs()
         later = self._first(self.units, shared)
         size, gram, bits = self.size, self.gram, self.bits
 
@@ -264,6 +267,11 @@ class SubstringLog:
         joined = new.join(_gathered(shared, "shared"), "unit", "left").join(_gathered(later, "later"), "unit", "left")
         return joined.mapInArrow(apply, "doc_id long, text string, n_words long, n_removed long, kept string")
 
+    def _remove_runs(self) -> None:
+        for f in {x.rsplit("/", 1)[0] for r in self.runs for x in r.inputFiles()}:
+            remove(self.spark, f)
+        self.runs = []
+
     def compact(self) -> None:
         """Merge all runs into one, whose rows hold at most RUN_ROW sorted fingerprints and the units that have them."""
         runs = self.runs[0]
@@ -280,10 +288,9 @@ class SubstringLog:
                     yield _row(_RUN, bucket=[bucket], units=[names.astype("<i8").tobytes()], hashes=[h[i : i + RUN_ROW].tobytes()], owner=[owner.astype("<u4").tobytes()])
 
         dealt = runs.repartition(1 << self.bits, "bucket").sortWithinPartitions("bucket")
-        old = [f for r in self.runs for f in {x.rsplit("/", 1)[0] for x in r.inputFiles()}]
-        self.runs = [staged(dealt.mapInArrow(merge, _RUN), self._table("run"))]
-        for f in old:
-            remove(self.spark, f)
+        merged = staged(dealt.mapInArrow(merge, _RUN), self._table("run"))
+        self._remove_runs()
+        self.runs = [merged]
 
 
 def _entries(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -345,7 +352,7 @@ def dedup(docs: DataFrame, size: int = 50, gram: int = 5, batches: int = 1) -> D
     spark = session(docs.sparkSession)
     log = SubstringLog(spark, shared_dir(spark, "substrings"), size, gram)
     if batches == 1:
-        return log.append(docs)
+        return log.append(docs, last=True)
     at = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / batches for k in range(1, batches)])).first()[0] or []
     edges, out, low = sorted(set(at)), None, None
     for high in [*edges, None]:
@@ -356,7 +363,7 @@ def dedup(docs: DataFrame, size: int = 50, gram: int = 5, batches: int = 1) -> D
             part = part.where((F.col("doc_id") <= high) | (F.col("doc_id").isNull() if low is None else F.lit(False)))
         elif low is None:
             part = docs
-        made = log.append(part)
+        made = log.append(part, last=high is None)
         out, low = made if out is None else out.unionByName(made), high
     return out
 
@@ -366,8 +373,9 @@ def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
 
     Rows with a null doc_id, and all but one row of a repeated doc_id, keep their text.
     """
-    found = dedup(docs, size).where("n_removed > 0 and doc_id is not null").select("doc_id", F.col("kept").alias("__kept"))
-    changed = staged(found.dropDuplicates(["doc_id"]), shared_dir(docs.sparkSession, "passages-out"))
+    with scratch(docs.sparkSession):
+        found = dedup(docs, size).where("n_removed > 0 and doc_id is not null").select("doc_id", F.col("kept").alias("__kept"))
+        changed = staged(found.dropDuplicates(["doc_id"]), shared_dir(docs.sparkSession, "passages-out", keep=True))
     joined = docs.join(changed, "doc_id", "left").withColumn("text", F.coalesce("__kept", "text"))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
