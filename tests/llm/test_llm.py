@@ -5,11 +5,12 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
 
-from tessera.llm import chat, decontaminate, languages, near_dups, pieces, substrings, token_counts, token_files, toxicity, winnowing
+from tessera.llm import chat, decontaminate, languages, near_dups, pieces, queries, substrings, token_counts, token_files, toxicity, winnowing
 from tessera.llm.common import shared_dir
 
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
@@ -174,3 +175,14 @@ def test_pipeline(spark, sf):
     kept = {r.doc_id for r in near_dups.groups(docs, 5).where("kept").collect()}
     dirty = {r.doc_id for r in decontaminate.documents(decontaminate.build(substrings.remove_repeats(docs.where(docs.doc_id.isin(list(kept)))), shared_dir(spark, "p")), spark.read.parquet(f"{sf}/benchmark.parquet")).where("n_hit > 0").collect()}
     assert {r.doc_id for r in out.collect()} == kept - dirty
+
+
+def test_queries_equal_their_sql(spark, sf):
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        want = con.execute(sql)
+        columns = [x[0] for x in want.description]
+        got = queries.QUERIES[name](spark, sf).select(*columns).collect()
+        assert sorted(map(tuple, got)) == sorted(want.fetchall()), name
