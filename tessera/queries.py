@@ -10,7 +10,7 @@ from .operators import tiering, vectors
 from .plans import catalog
 from .sources.tables import AS_OF, DUCK, access_events, objects, table
 from .sources.tables import vectors as vector_table
-from .streaming import limiters
+from .streaming import levels, limiters
 
 QUERIES = {name: catalog.spark_query(body) for name, body in catalog.SQL.items()}
 ORACLE_SQL = {name: catalog.duck_query(body) for name, body in catalog.SQL.items()}
@@ -203,3 +203,15 @@ query("limit_bandwidth")(lambda spark, d: limiters.fold(_events(spark, d), lambd
 query("limit_sliding_window")(lambda spark, d: limiters.fold(_events(spark, d), lambda: limiters.SlidingWindow(86400, 8640, 3)))
 query("login_lockout")(lambda spark, d: limiters.fold(_events(spark, d), lambda: limiters.Lockout(3, 86400, 43200), n="failed"))
 query("circuit_breaker")(lambda spark, d: limiters.fold(_events(spark, d), lambda: limiters.Breaker(3, 0.1, 86400, 2), n="failed"))
+
+
+def level_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Events as requests: 20 addresses, buckets by props, purchases and sign-ups as uploads."""
+    method = F.when(F.col("event_type") == "purchase", "PUT").when(F.col("event_type") == "signup", "POST").otherwise("GET")
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), "ts", F.concat(F.lit("10.0.0."), F.col("user_id") % 20).alias("ip"), F.col("user_id").cast("string").alias("user"), F.get_json_object("props", "$.k").alias("bucket"), method.alias("method"), F.floor("value").alias("bytes"))
+
+
+#: Limits that fit the events' pace of some hundreds a day.
+LEVELS = levels.Limits(requests=300, ip_requests=18, user_rate=2e-5, user_burst=3, bucket_rate=5e-5, bucket_burst=4, upload_rate=1e-4, upload_burst=100, methods={"GET": (1e-5, 2)}, whitelist=("10.0.0.3",), window=86400, precision=8640)
+query("limit_levels")(lambda spark, d: levels.decide(level_requests(spark, d), LEVELS))
+query("limit_levels_totals")(lambda spark, d: levels.totals(levels.decide(level_requests(spark, d), LEVELS)))
