@@ -1,22 +1,21 @@
 """MinHash near-dedup with an LSH forest.
 
 A document's set is its distinct word shingles. Documents with one set form a class and go on as its smallest
-doc_id. Every class has MinHash labels for several trees; a tree's order sorts classes by their label
-sequence, and a class's candidates are its neighbours in that order: those with whom it shares a longest
-common prefix of `least` labels or more, among the next `reach` in the order. Where a region is sparse that is the
-whole region; where it is dense, the order itself takes the neighbours with the longest prefixes, so depth
-adapts to the region and work stays linear. Classes whose reach was too short to see a whole region (and that
-have neighbours of other components there) go on to a forest of more and deeper trees (LEVELS), which keeps
-the chance to miss a pair at the threshold (0.8) small:
-
-    level   trees  labels  least prefix   chance to miss a pair of similarity 0.8
-    1       16     8       3              (1 - 0.8**3)**16  = 1e-5
-    2       64     8       6              (1 - 0.8**6)**64  = 4e-9
-    3       256    12      10             (1 - 0.8**10)**256 = 3e-13
-
-Candidates pass a check on 64 one-byte labels of other trees (a pair at the threshold passes it with a chance of 0.95,
-anew in each of the trees that bring it together, so level 1 misses it with a chance of 2e-5; deeper levels ask for more) and are then confirmed on full sets of 64-bit shingle hashes. Next neighbours in the first EARLY trees are confirmed first; from then
-on only pairs between different known components are candidates, so a group of n near copies takes about n confirmations.
+doc_id. Links are found in two ways, the first fast and by chance, the second exact, so that together every pair
+at the threshold is linked:
+
+* Every class has MinHash labels for several trees; a tree's order sorts classes by their label sequence, and a
+  class's candidates are its neighbours in that order: those with whom it shares a longest common prefix of LEAST
+  labels or more, among the next REACH in the order, that agree in most of 64 one-byte labels of other trees. Next
+  neighbours in the first EARLY trees are confirmed first; from then on only pairs between different known components
+  are candidates, so a group of n near copies takes about n confirmations. What reach and labels miss here costs no link.
+* Then every class is joined with the others by its rarest shingles. All sets are sorted by one order, by a table of
+  counts and then by hash (any table gives the same links). Two sets of a and b shingles at the threshold t share at least
+  ceil(t * max(a, b)), so they share one of the first n - ceil(t * n) + 1 shingles of each. Pairs that share c of these and
+  can't reach the threshold with all that follow in either are dropped; the others are confirmed.
+
+Candidates are confirmed on full sets of 64-bit shingle hashes. Many classes that share rare shingles, are in different
+components and aren't near enough to be linked make pairs by the square of their number.
 
 Orders are dealt by ranges that include the doc_id, so a region of any size is split; neighbours that a range's
 end parts are compared in a second pass over the ends alone.
@@ -41,12 +40,16 @@ from .common import raw, remove, scratch, session, shared_dir, slices, staged, t
 from .components import components
 
 U64 = np.uint64
-#: trees, labels of each, least common prefix, neighbours looked at, one-byte labels of the check that have to agree.
-LEVELS = ((16, 8, 3, 8, 46), (64, 8, 6, 16, 50), (256, 12, 10, 32, 50))
+#: Trees, labels of each, least common prefix, neighbours looked at, one-byte labels of the check that have to agree.
+TREES, DEPTH, LEAST, REACH, AGREE = 16, 8, 3, 8, 46
 #: One-byte labels of the check, taken from the eight trees after a row's own.
 CHECK = 64
 #: Trees whose next neighbours are confirmed first.
 EARLY = 4
+#: Slots of the table of counts, and of each row that holds a part of it.
+SLOTS, SLOT_ROW = 1 << 20, 1 << 16
+#: Rows and pairs that the join by rare shingles takes at once.
+POSTINGS, PAIRS = 1 << 16, 1 << 20
 _ORDER = "tree int, hi long, lo long, id long, part long, sig binary"
 
 
@@ -67,14 +70,14 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     return g, np.searchsorted(doc, np.arange(n + 1))
 
 
-def _label_keys(level: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.Generator(np.random.PCG64(1000 + level))
+def _label_keys(n: int) -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.Generator(np.random.PCG64(1000))
     return r.integers(0, 1 << 63, n, dtype=U64), r.integers(0, 1 << 63, n, dtype=U64) * U64(2) + U64(1)
 
 
-def labels(g: np.ndarray, bounds: np.ndarray, level: int, n: int) -> np.ndarray:
+def labels(g: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
     """n MinHash labels of 16 bits for each non-empty row."""
-    xor, times = _label_keys(level, n)
+    xor, times = _label_keys(n)
     out, buffer = np.empty((len(bounds) - 1, n), U64), np.empty_like(g)
     for t in range(n):
         np.bitwise_xor(g, xor[t], out=buffer)
@@ -84,121 +87,205 @@ def labels(g: np.ndarray, bounds: np.ndarray, level: int, n: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, same (128 bits that equal sets share), labels (of level 1) of each row with a doc_id."""
-    trees, depth = LEVELS[0][:2]
+    """doc_id, n_shingles, same (128 bits that equal sets share), labels of each row with a doc_id; and each task's
+    table of how often it saw shingles (255 at most), in rows without a doc_id: n_shingles is their place, same the counts."""
+    fields = ["doc_id", "n_shingles", "same", "labels"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.int64)
         for b in batches:
             data, offsets = raw(texts_of(b.column(1)))
             for i, j in slices(offsets):
                 g, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1], k)
+                seen += np.bincount(_slot(g), minlength=SLOTS)
                 n = np.diff(bounds)
                 same, marks = [b""] * (j - i), [b""] * (j - i)
                 full = np.flatnonzero(n)
                 if len(full):
                     at = bounds[:-1][full]
                     x, y = np.add.reduceat(words.mix(g), at), np.add.reduceat(words.mix(g ^ U64(0x5851F42D4C957F2D)), at)
-                    m = labels(g, np.append(at, len(g)), 0, trees * depth)
+                    m = labels(g, np.append(at, len(g)), TREES * DEPTH)
                     for r, d in enumerate(full):
                         same[d], marks[d] = x[r].tobytes() + y[r].tobytes(), m[r].tobytes()
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(same, pa.binary()), pa.array(marks, pa.binary())], names=["doc_id", "n_shingles", "same", "labels"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(same, pa.binary()), pa.array(marks, pa.binary())], names=fields)
+        if seen.any():
+            rows = np.minimum(seen, 255).astype(np.uint8).reshape(-1, SLOT_ROW)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.array(np.arange(len(rows))), pa.array([x.tobytes() for x in rows], pa.binary()), pa.nulls(len(rows), pa.binary())], names=fields)
 
     return _rows(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, n_shingles long, same binary, labels binary")
 
 
+def _slot(g: np.ndarray) -> np.ndarray:
+    return (words.mix(g) >> U64(44)).astype(np.int64)
+
+
+def counts(drawn: DataFrame) -> np.ndarray:
+    """The sum of the tasks' tables."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(x.as_buffer(), np.uint8).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["place", "counts"])
+
+    parts = drawn.where("doc_id is null").select("n_shingles", "same").repartition(SLOTS // SLOT_ROW, "n_shingles")
+    out = np.zeros((SLOTS // SLOT_ROW, SLOT_ROW), np.uint32)
+    for r in parts.mapInArrow(add, "place long, counts binary").collect():
+        out[r.place] = np.frombuffer(r.counts, np.uint32)
+    return out.ravel()
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _orders(m: np.ndarray, ids: np.ndarray, parts: np.ndarray, trees: int, depth: int) -> Iterator[pa.RecordBatch]:
-    """The rows of all trees for some classes. hi holds a tree's first four labels, lo four more."""
-    m = m.reshape(len(ids), trees, depth).astype(np.int64)
-    low = (m & 0xFF).astype(np.uint8)
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of all trees for classes (id, labels, part). hi holds a tree's first four labels, lo four more."""
     place = np.array([48, 32, 16, 0])
-    first = m[:, :, : depth - 8] if depth > 8 else None
-    for t in range(trees):
-        sig = [x.tobytes() for x in low[:, (t + 1 + np.arange(8)) % trees, :8].reshape(len(ids), CHECK)]
-        l = m[:, t, -8:]
-        if first is not None:  # labels beyond eight are folded into the first
-            h = words.mix(np.bitwise_xor.reduce(words.mix(first[:, t].astype(U64) + (np.arange(first.shape[2], dtype=U64) << U64(20))), axis=1))
-            l = l.copy()
-            l[:, 0] ^= (h >> U64(48)).astype(np.int64)
-        hi = (l[:, :4] << place).sum(axis=1)
-        lo = (l[:, 4:8] << place[: l.shape[1] - 4]).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, np.int32)), pa.array(hi), pa.array(lo), pa.array(ids), pa.array(parts), pa.array(sig, pa.binary())], names=["tree", "hi", "lo", "id", "part", "sig"])
-
-
-def _neighbours(level: int, ends: bool, first: bool):
-    """Candidate pairs of rows sorted by (tree, hi, lo, id). Rows out: pairs (a, b) of different parts, classes in
-    regions that the reach doesn't span (a, dense), and, with ends, the rows at the range's two ends for the second
-    pass. With first, only next neighbours in EARLY trees are pairs; other classes with a neighbour are (a) alone."""
-    _, _, least, reach, agree = LEVELS[level]
-    least, last = min(least, 8), level == len(LEVELS) - 1
-    take = min(least, 4)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("dense", pa.bool_()), ("tree", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("part", pa.int64()), ("sig", pa.binary())])
-
-    def out(a, b=None, dense=None, rows=None):
+    for b in batches:
+        n = len(b)
+        m = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u2").reshape(n, TREES, DEPTH).astype(np.int64)
+        low = (m & 0xFF).astype(np.uint8)
+        for t in range(TREES):
+            sig = [x.tobytes() for x in low[:, (t + 1 + np.arange(8)) % TREES].reshape(n, CHECK)]
+            hi, lo = (m[:, t, :4] << place).sum(axis=1), (m[:, t, 4:] << place).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(hi), pa.array(lo), b.column(0), b.column(2), pa.array(sig, pa.binary())], names=["tree", "hi", "lo", "id", "part", "sig"])
+
+
+def _neighbours(ends: bool, first: bool):
+    """Candidate pairs of rows sorted by (tree, hi, lo, id). Rows out: pairs (a, b) of different parts and, with ends, the
+    rows at the range's two ends for the second pass. With first, only next neighbours in EARLY trees are pairs."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("part", pa.int64()), ("sig", pa.binary())])
+
+    def out(a, b=None, rows=None):
         n = len(a)
         none = [pa.nulls(n, f.type) for f in schema]
-        cols = [pa.array(a, pa.int64()), none[1] if b is None else pa.array(b), none[2] if dense is None else pa.array(dense), *none[3:]]
+        cols = [pa.array(a, pa.int64()), none[1] if b is None else pa.array(b), *none[2:]]
         if rows is not None:
-            cols[3:] = [rows.column(c) for c in ("tree", "hi", "lo", "part", "sig")]
+            cols[2:] = [rows.column(c) for c in ("tree", "hi", "lo", "part", "sig")]
         return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, old, first_done = None, 0, 0
         for b in batches:
             t = pa.Table.from_batches([b.select(["tree", "hi", "lo", "id", "part", "sig"])])
-            if ends and first_done < reach + 1:
-                head = t.slice(0, reach + 1 - first_done)
+            if ends and first_done < REACH + 1:
+                head = t.slice(0, REACH + 1 - first_done)
                 first_done += len(head)
                 yield out(head["id"].to_numpy(), rows=head)
             if held is not None:
                 t = pa.concat_tables([held, t])
             t = t.combine_chunks()
-            tree, hi, lo, ids, part = (t[c].to_numpy() for c in ("tree", "hi", "lo", "id", "part"))
+            tree, hi, ids, part = (t[c].to_numpy() for c in ("tree", "hi", "id", "part"))
             sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            same = hi >> (16 * (4 - take))
-            deeper = lo.view(U64) >> U64(16 * (4 - min(4, max(0, least - 4)))) if least > 4 else np.zeros(len(lo), U64)
-            alike = lambda s: (tree[s:] == tree[:-s]) & (same[s:] == same[:-s]) & (deeper[s:] == deeper[:-s])
-            near_other, seen = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
-            for s in range(1, min(reach, len(ids) - 1) + 1):
-                i = np.flatnonzero(alike(s) & (part[s:] != part[:-s]))
+            same = hi >> (16 * (4 - LEAST))
+            for s in range(1, min(1 if first else REACH, len(ids) - 1) + 1):
+                i = np.flatnonzero((tree[s:] == tree[:-s]) & (same[s:] == same[:-s]) & (part[s:] != part[:-s]))
                 i = i[i + s >= old]
-                near_other[i] = near_other[i + s] = True
-                i = i[(sig[i] == sig[i + s]).sum(axis=1) >= agree]
                 if first:
-                    seen[i] = seen[i + s] = True
-                    i = i[(tree[i] < EARLY) & (s == 1)]
+                    i = i[tree[i] < EARLY]
+                i = i[(sig[i] == sig[i + s]).sum(axis=1) >= AGREE]
                 if len(i):
                     x, y = ids[i], ids[i + s]
                     yield out(np.minimum(x, y), np.maximum(x, y))
-            if seen.any():
-                yield out(np.unique(ids[seen]))
-            if len(ids) > reach + 1 and not first and not last:
-                i = np.flatnonzero(alike(reach + 1))
-                i = i[i + reach + 1 >= old]
-                far = np.unique(np.concatenate([ids[i][near_other[i]], ids[i + reach + 1][near_other[i + reach + 1]]]))
-                if len(far):
-                    yield out(far, dense=np.ones(len(far), bool))
-            held = t.slice(max(0, len(t) - reach - 1))
+            held = t.slice(max(0, len(t) - REACH - 1))
             old = len(held)
         if ends and held is not None:
             yield out(held["id"].to_numpy(), rows=held)
 
-    return run, "a long, b long, dense boolean, tree int, hi long, lo long, part long, sig binary"
+    return run, "a long, b long, tree int, hi long, lo long, part long, sig binary"
 
 
-def candidates(orders: DataFrame, level: int, path: str, first: bool = False) -> DataFrame:
-    """Pairs (a, b), dense classes (a, dense) and, with first, classes with a neighbour (a) of one forest."""
+def candidates(orders: DataFrame, path: str, name: str, first: bool = False) -> DataFrame:
+    """Pairs (a, b) of one forest."""
     spark = orders.sparkSession
-    run, schema = _neighbours(level, True, first)
+    run, schema = _neighbours(True, first)
     dealt = orders.repartitionByRange(tasks_for(spark), "tree", "hi", "lo", "id").sortWithinPartitions("tree", "hi", "lo", "id")
-    made = staged(dealt.mapInArrow(run, schema), f"{path}/neighbours-{level}{'-first' if first else ''}")
-    run, _ = _neighbours(level, False, first)
-    at_ends = made.where("tree is not null").select("tree", "hi", "lo", F.col("a").alias("id"), "part", "sig").distinct()  # 2 * (reach + 1) rows a range
+    made = staged(dealt.mapInArrow(run, schema), f"{path}/neighbours-{name}")
+    run, _ = _neighbours(False, first)
+    at_ends = made.where("tree is not null").select("tree", "hi", "lo", F.col("a").alias("id"), "part", "sig").distinct()  # 2 * (REACH + 1) rows a range
     second = at_ends.coalesce(1).sortWithinPartitions("tree", "hi", "lo", "id").mapInArrow(run, schema)
-    return made.where("tree is null").unionAll(second).select("a", "b", "dense")
+    return made.where("tree is null").unionAll(second).select("a", "b")
+
+
+def _least(n: np.ndarray, percent: int) -> np.ndarray:
+    return (percent * n + 99) // 100
+
+
+def rarest(docs: DataFrame, table: np.ndarray, k: int, percent: int) -> DataFrame:
+    """id, n_shingles, rare (those of a document's shingles one of which any near set has, the rarest first)."""
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = raw(texts_of(b.column(1)))
+            for i, j in slices(offsets):
+                g, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1], k)
+                n = np.diff(bounds)
+                g = g[np.lexsort((sent.value[_slot(g)], np.repeat(np.arange(j - i), n)))]  # stable: ties stay by hash
+                ends = bounds[:-1] + np.minimum(n, n - _least(n, percent) + 1)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array([g[x:y].tobytes() for x, y in zip(bounds[:-1], ends, strict=True)], pa.binary())], names=["id", "n_shingles", "rare"])
+
+    return _rows(docs).where("doc_id is not null").mapInArrow(run, "id long, n_shingles long, rare binary").where("n_shingles > 0")
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each rare shingle of classes (id, part, n_shingles, rare)."""
+    for b in batches:
+        times = np.array([len(x.as_buffer()) // 8 for x in b.column(3)])
+        h = np.frombuffer(b"".join(b.column(3).to_pylist()), "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(h), *[pa.array(np.repeat(b.column(c).to_numpy(), times)) for c in range(3)]], names=["h", "id", "part", "n"])
+
+
+def _sharing(percent: int):
+    """Pairs (a, b) of different parts for each shingle of rows sorted by (h, part), with how many they have to share."""
+
+    def pairs(h: np.ndarray, ids: np.ndarray, part: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        top = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        run = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (part[1:] != part[:-1])]))
+        size = len(h)
+        group_end = np.repeat(np.append(top[1:], size), np.diff(np.append(top, size)))
+        run_end = np.repeat(np.append(run[1:], size), np.diff(np.append(run, size)))
+        left = np.flatnonzero(group_end > run_end)
+        many = (group_end - run_end)[left]
+        total, i = np.concatenate([[0], np.cumsum(many)]), 0
+        while i < len(left):
+            j = max(i + 1, int(np.searchsorted(total, total[i] + PAIRS, "right")) - 1)
+            x = np.repeat(left[i:j], many[i:j])
+            y = run_end[x] + np.arange(len(x)) - np.repeat(total[i:j] - total[i], many[i:j])
+            near = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+            x, y = x[near], y[near]
+            both = (percent * (n[x] + n[y]) + 99 + percent) // (100 + percent)
+            need = both - _least(np.maximum(n[x], n[y]), percent) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y])), pa.array(need)], names=["a", "b", "need"])
+            i = j
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, limit = [], 0, POSTINGS
+        for b in batches:
+            held.append([c.to_numpy() for c in b.columns])
+            size += len(b)
+            if size < limit:
+                continue
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last shingle may go on
+            if cut:
+                yield from pairs(*[c[:cut] for c in cols])
+            held, size = [[c[cut:] for c in cols]], size - cut
+            limit = max(POSTINGS, 2 * size)
+        if held:
+            yield from pairs(*[np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return run
+
+
+def sharing(rare: DataFrame, parted: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes (id, part) of different parts that share as many rare shingles as near sets have to."""
+    rows = rare.join(parted.select("id", "part"), "id").select("id", "part", "n_shingles", "rare").mapInArrow(_spread, "h long, id long, part long, n long")
+    dealt = rows.repartition(tasks_for(rare.sparkSession), "h").sortWithinPartitions("h", "part")
+    each = dealt.mapInArrow(_sharing(percent), "a long, b long, need long")
+    return each.groupBy("a", "b", "need").count().where("count >= need").select("a", "b")
 
 
 def sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -239,57 +326,36 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row; see the module's text."""
     spark = session(docs.sparkSession)
     path = shared_dir(spark, "near-dups")
-    drawn = staged(sketch(docs, k), f"{path}/sketch")
-    trees, depth = LEVELS[0][:2]
+    sketched = staged(sketch(docs, k), f"{path}/sketch")
+    drawn = sketched.where("doc_id is not null")
     grouped = drawn.where("n_shingles > 0").groupBy("same").agg(F.min(F.struct("doc_id", "labels")).alias("m"))
     classes = staged(grouped.select("same", F.col("m.doc_id").alias("id"), F.col("m.labels").alias("labels")), f"{path}/classes")
+    one_row = classes.select("id", "labels").dropDuplicates(["id"])
 
-    def first_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u2")
-            yield from _orders(m, b.column(0).to_numpy(), b.column(2).to_numpy(), trees, depth)
+    def parted(known: DataFrame, *columns: str) -> DataFrame:
+        return one_row.join(known.withColumnRenamed("node", "id"), "id", "left").select("id", *columns, F.coalesce("component", "id").alias("part"))
 
     # next neighbours in a few trees are confirmed first, so that groups of near copies are one part afterwards
-    one_row = classes.select("id", "labels").dropDuplicates(["id"])
-    orders = staged(one_row.withColumn("part", F.col("id")).mapInArrow(first_orders, _ORDER), f"{path}/orders-first")
-    found = _made(candidates(orders, 0, path, first=True), path, "0-first", "first")
-    tested = staged(found.where("b is not null").select("a", "b").distinct(), f"{path}/pairs-first")
-    hashes = staged(sets(docs, found.select(F.col("a").alias("id")).unionAll(found.where("b is not null").select(F.col("b").alias("id"))).distinct(), k), f"{path}/sets")
+    orders = staged(one_row.withColumn("part", F.col("id")).mapInArrow(_orders, _ORDER), f"{path}/orders-first")
+    tested = _made(candidates(orders, path, "first", first=True), path, "first")
+    hashes = staged(sets(docs, _ends(tested), k), f"{path}/sets-first")
     links = staged(confirm(tested, hashes, percent), f"{path}/links-first")
     known = components(links, f"{path}/first")
     # then all trees, between different parts
-    parted = one_row.join(known.withColumnRenamed("node", "id"), "id", "left").select("id", "labels", F.coalesce("component", "id").alias("part"))
-    orders = staged(parted.mapInArrow(first_orders, _ORDER), f"{path}/orders-0")
-    found = _made(candidates(orders, 0, path), path, "0", "0")
-    pairs = staged(_untested(found, tested), f"{path}/pairs-0")
+    orders = staged(parted(known, "labels").mapInArrow(_orders, _ORDER), f"{path}/orders-all")
+    pairs = staged(_made(candidates(orders, path, "all"), path, "all").join(tested, ["a", "b"], "left_anti"), f"{path}/pairs-all")
+    hashes = _more_sets(docs, pairs, hashes, k, f"{path}/sets-all")
     tested = tested.unionAll(pairs)
-    links = links.unionAll(staged(confirm(pairs, hashes, percent), f"{path}/links-0"))
-    known = components(links, f"{path}/level-0")
-    dense = found.where("dense").select(F.col("a").alias("id")).distinct()
-    for level in range(1, len(LEVELS)):
-        if dense.isEmpty():
-            break
-        trees_, depth_ = LEVELS[level][:2]
-
-        def more_orders(batches: Iterator[pa.RecordBatch], level=level, trees_=trees_, depth_=depth_) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(0, len(b), 64):
-                    part = b.slice(i, 64)
-                    sizes = np.array([len(x.as_buffer()) // 8 for x in part.column(1)])
-                    g = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8")
-                    m = labels(g, np.concatenate([[0], np.cumsum(sizes)]), level, trees_ * depth_)
-                    yield from _orders(m, part.column(0).to_numpy(), part.column(2).to_numpy(), trees_, depth_)
-
-        own = hashes.join(dense, "id", "left_semi").join(known.withColumnRenamed("node", "id"), "id", "left")
-        orders = staged(own.select("id", "hashes", F.coalesce("component", "id").alias("part")).mapInArrow(more_orders, _ORDER), f"{path}/orders-{level}")
-        found = _made(candidates(orders, level, path), path, str(level), str(level))
-        rest = staged(_untested(found, tested), f"{path}/pairs-{level}")
-        tested = tested.unionAll(rest)
-        made = staged(confirm(rest, hashes, percent), f"{path}/links-{level}")
-        dense = found.where("dense").select(F.col("a").alias("id")).distinct()
-        if not made.isEmpty():
-            links = links.unionAll(made)
-            known = components(links, f"{path}/level-{level}")
+    links = links.unionAll(staged(confirm(pairs, hashes, percent), f"{path}/links-all"))
+    known = components(links, f"{path}/all")
+    # then all pairs of different parts that share enough of their rarest shingles: exact
+    rare = staged(rarest(docs, counts(sketched), k, percent), f"{path}/rare")
+    pairs = staged(sharing(rare, parted(known), percent).join(tested, ["a", "b"], "left_anti"), f"{path}/pairs-rare")
+    remove(spark, f"{path}/rare")
+    hashes = _more_sets(docs, pairs, hashes, k, f"{path}/sets-rare")
+    made = staged(confirm(pairs, hashes, percent), f"{path}/links-rare")
+    if not made.isEmpty():
+        known = components(links.unionAll(made), f"{path}/rare-components")
     of_set = classes.select("same", F.col("id").alias("class"))
     rows = drawn.select("doc_id", "n_shingles", "same").join(of_set, "same", "left").join(known.withColumnRenamed("node", "class"), "class", "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
@@ -297,16 +363,21 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return rows.unionAll(no_id).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _made(found: DataFrame, path: str, neighbours: str, name: str) -> DataFrame:
-    """found as a table; the orders and neighbours it was made from are removed."""
-    out = staged(found, f"{path}/candidates-{name}")
-    remove(found.sparkSession, f"{path}/neighbours-{neighbours}")
+def _made(found: DataFrame, path: str, name: str) -> DataFrame:
+    """The distinct pairs found as a table; the orders and neighbours they were made from are removed."""
+    out = staged(found.distinct(), f"{path}/candidates-{name}")
+    remove(found.sparkSession, f"{path}/neighbours-{name}")
     remove(found.sparkSession, f"{path}/orders-{name}")
     return out
 
 
-def _untested(found: DataFrame, tested: DataFrame) -> DataFrame:
-    return found.where("b is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def _more_sets(docs: DataFrame, pairs: DataFrame, hashes: DataFrame, k: int, path: str) -> DataFrame:
+    """hashes with the sets that pairs need besides."""
+    return hashes.unionAll(staged(sets(docs, _ends(pairs).join(hashes.select("id"), "id", "left_anti"), k), path))
 
 
 def _count_only(k: int):
