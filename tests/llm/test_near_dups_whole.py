@@ -18,6 +18,18 @@ def _component(spark, texts):
     return {r.doc_id: r.component_id for r in near_dups.groups(docs, 4).collect()}
 
 
+def test_bridges_of_large_groups(spark):
+    """An original, 3,000 copies at 0.92 to it and 60 at 0.8 to it, but below 0.8 to each other and to the copies."""
+    base = [f"w{i}" for i in range(300)]
+    r, texts = np.random.default_rng(5), [base]
+    for c, n in enumerate([3] * 3000 + [8] * 60):
+        t = list(base)
+        for at in r.choice(np.arange(4, 296, 4), n, replace=False):
+            t[at] = f"c{c}p{at}"
+        texts.append(t)
+    assert set(_component(spark, texts).values()) == {0}
+
+
 def test_pairs_at_the_threshold(spark):
     """72 shingles, 64 of them shared: exactly 0.8."""
     texts = [[f"d{d}w{i}" for i in range(75)] for d in range(6000)]
