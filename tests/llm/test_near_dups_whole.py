@@ -30,6 +30,18 @@ def test_bridges_of_large_groups(spark):
     assert set(_component(spark, texts).values()) == {0}
 
 
+def _template(spark, shared, n, pairs, words=100):
+    """n documents; the first ones have a copy with two other words."""
+    texts = [[f"t{i}" for i in range(shared)] + [f"d{d}w{i}" for i in range(words - shared)] for d in range(n)]
+    texts += [_edited(texts[p], 2, f"p{p}") for p in range(pairs)]
+    assert _component(spark, texts) == {i: i - n if i >= n else i for i in range(len(texts))}
+
+
+def test_dense_region_without_agreeing_neighbours(spark):
+    """Documents of one template at 0.6 to each other: their next neighbours fail the check on labels."""
+    _template(spark, 76, 12000, 3000)
+
+
 def test_pairs_at_the_threshold(spark):
     """72 shingles, 64 of them shared: exactly 0.8."""
     texts = [[f"d{d}w{i}" for i in range(75)] for d in range(6000)]
