@@ -42,6 +42,11 @@ def test_dense_region_without_agreeing_neighbours(spark):
     _template(spark, 76, 12000, 3000)
 
 
+def test_dense_region_beyond_every_reach(spark):
+    """At 0.7 to each other a region is wider than any reach even when many labels are asked for; the copies are at 0.8."""
+    _template(spark, 62, 2500, 2500, words=75)
+
+
 def test_pairs_at_the_threshold(spark):
     """72 shingles, 64 of them shared: exactly 0.8."""
     texts = [[f"d{d}w{i}" for i in range(75)] for d in range(6000)]
