@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import ADAPTERS, AS_OF, DUCK, table
 
 #: name -> (Spark's, DuckDB's).
-DIALECT = {"@rlike(": ("rlike(", "regexp_matches("), "@all(": ("sha2(", "concat("), "@len(": ("char_length(", "length("), "@split(": ("split_part(", "split_part("), "@epoch(": ("unix_seconds(CAST(", "epoch(CAST("), "@contains(": ("array_contains(", "list_contains("), "@values(": ("array(", "list_value("), "@sorted(": ("array_sort(collect_list(", "list_sort(list("), "@regex(": ("regexp_extract(", "regexp_extract(")}
+DIALECT = {"@rlike(": ("rlike(", "regexp_matches("), "@all(": ("sha2(", "concat("), "@len(": ("char_length(", "length("), "@split(": ("split_part(", "split_part("), "@epoch(": ("unix_seconds(CAST(", "epoch(CAST("), "@contains(": ("array_contains(", "list_contains("), "@values(": ("array(", "list_value("), "@sorted(": ("array_sort(collect_list(", "list_sort(list("), "@regex(": ("regexp_extract(", "regexp_extract("), "@bytes(": ("binary(", "encode("), "@first(": ("substring(", "array_slice(")}
 
 STATEMENTS = """(SELECT * FROM (VALUES
  ('s1', 1, 'Allow', 's3:view', 'k/1*'), ('s2', 2, 'Allow', 's3:*', 'k/2?'), ('s3', 3, 'Deny', 's3:purchase', 'k/2*'), ('s4', 4, 'Allow', '*', 'k/7'), ('s5', 5, 'Deny', 's3:error', '*'))
@@ -90,6 +90,11 @@ SQL = {
     "thumbnails": "SELECT concat(o.key, '_thumb_', t.name) AS key, t.size FROM {objects} o CROSS JOIN (VALUES ('small', 100), ('medium', 300), ('large', 800)) AS t(name, size) WHERE o.bucket = 'src9'",
     "auto_index_rows": "SELECT doc_id, substring(content, 1, 40) AS head FROM {objects} WHERE content_type LIKE 'text/%' AND trim(content) <> '' AND size <= 1048576",
     "arn_parts": "SELECT concat('arn:aws:s3:::', bucket, '/', key) AS arn, bucket FROM {objects} WHERE doc_id < 50",
+    # the above over all rows: no id filter, and the whole text to index (its first 1 MB)
+    "arn_all": "SELECT concat('arn:aws:s3:::', bucket, '/', key) AS arn, bucket FROM {objects}",
+    "list_parts_all": "SELECT upload_id, part_number, size FROM {parts} WHERE part_number > 2",
+    "list_parts_text_order_all": "SELECT upload_id, part_number, row_number() OVER (PARTITION BY upload_id ORDER BY CAST(part_number AS VARCHAR(20))) AS place FROM {parts}",
+    "auto_index_texts": "SELECT doc_id, md5(@first(@bytes(content), 1, 1048576)) AS text_md5 FROM {objects} WHERE content_type LIKE 'text/%' AND @rlike(content, '[^ \t\n\x0b\f\r]')",
     "score_threshold": "SELECT id, round(value, 6) AS score FROM (SELECT event_id AS id, value / 100.0e0 AS value FROM {events}) t WHERE value >= 0.7e0",
 }
 
