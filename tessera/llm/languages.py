@@ -3,7 +3,7 @@
 log P(language | all) = host prior + `TEMPER` * text likelihood + P(declared | language) + P(suffix | language).
 
 * Text: hashed byte trigrams of lower-cased words under one multinomial a language, fitted on at most
-  FIT_ROWS labelled rows a language, and a background (`und`) of all byte trigrams alike.
+  FIT_ROWS distinct labelled texts a language, and a background (`und`) of all byte trigrams alike.
 * Host prior: counts of text-only decisions by host, smoothed towards those of its suffix, and these towards
   all rows', by grouped aggregation over all rows (Dirichlet weight HOST_WEIGHT at each level).
 * Declared language and address suffix: counts against text-only decisions over all rows, smoothed.
@@ -60,8 +60,8 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def fit(labelled: DataFrame, text: str = "text", language: str = "lang", fit_rows: int = FIT_ROWS) -> dict:
-    """Languages and their log trigram probabilities (fixed size), from at most fit_rows rows a language."""
-    languages = [r[0] for r in labelled.where(F.col(language).isNotNull() & (F.col(language) != "")).groupBy(language).count().orderBy(F.desc("count"), language).limit(64).collect()]
+    """Languages and their log trigram probabilities (fixed size), from at most fit_rows distinct texts a language."""
+    languages = [r[0] for r in labelled.where(F.col(language).isNotNull() & (F.col(language) != "")).groupBy(language).count().orderBy(F.desc("count"), language).collect()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(TABLE, np.int64)
@@ -73,8 +73,10 @@ def fit(labelled: DataFrame, text: str = "text", language: str = "lang", fit_row
         yield pa.RecordBatch.from_pydict({"counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
     tables = []
-    for x in languages:  # one small job a language (64 at most)
-        rows = labelled.where(F.col(language) == x).select(F.col(text).cast("string").alias("text")).orderBy(F.xxhash64("text"), "text").limit(fit_rows)
+    for x in languages:  # two small jobs a language: hashes first, so that copies of a text count once and few texts are shuffled
+        own = labelled.where(F.col(language) == x).select(F.col(text).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+        cut = own.select("hash").distinct().orderBy("hash").limit(fit_rows).agg(F.max("hash")).first()[0]
+        rows = own.where(F.col("hash") <= cut).select("text").distinct()
         tables.append(sum(np.frombuffer(r.counts, "<i8") for r in rows.mapInArrow(count, "counts binary").collect()))
     seen = np.stack(tables) if tables else np.zeros((0, TABLE))
     log = np.log((seen + 0.05) / (seen.sum(axis=1, keepdims=True) + 0.05 * TABLE))
