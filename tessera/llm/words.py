@@ -1,11 +1,15 @@
 """Words and word windows of UTF-8 text as NumPy arrays, without a Python object for each word.
 
 All separators of the word rules here are ASCII, so they are found byte by byte. Hashes are 64 bits:
-a polynomial over bytes (or over word hashes), taken from prefix sums, then mixed.
+a polynomial over bytes, taken from prefix sums, then mixed. Such polynomials modulo 2**64 have constructed collisions for
+words of 1,024 bytes and more whatever their tables are, so words of more than LONG bytes get a cryptographic digest instead.
+A sequence of words is hashed by a polynomial over its words' hashes; the second, independent hash of a sequence folds
+its upper bits down between steps, which is no polynomial.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +22,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = U64(0xD1342543DE82EF95)
 _STEP2 = U64(0xAF251AF3B0F025B5)
+#: Bytes of a word up to which its hash is a polynomial.
+LONG = 32
 
 
 def _class(rule: str) -> np.ndarray:
@@ -85,8 +91,13 @@ class Words:
         p, inv = powers(len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, U64)
         np.cumsum(_TABLES[self.fold, which][self.data] * p[: len(self.data)], out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * inv[self.starts]
-        return mix(h + (self.ends - self.starts).astype(U64))
+        length = self.ends - self.starts
+        h = mix((sums[self.ends] - sums[self.starts]) * inv[self.starts] + length.astype(U64))
+        for i in np.flatnonzero(length > LONG):
+            word = self.data[self.starts[i] : self.ends[i]].tobytes()
+            digest = hashlib.blake2b(word.lower() if self.fold else word, digest_size=16).digest()
+            h[i] = int.from_bytes(digest[8 * which : 8 * which + 8], "little")
+        return h
 
     def windows(self, k: int) -> np.ndarray:
         """Index of the first word of each run of k words within one row."""
@@ -119,10 +130,13 @@ def rolled(word_hashes: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     m = len(word_hashes) - k + 1
     if m <= 0:
         return np.zeros(0, U64)
-    step = _STEP2 if which else _STEP
     g = word_hashes[:m].copy()
     for j in range(1, k):
-        g *= step
+        if which:
+            g ^= g >> U64(31)
+            g *= _STEP2
+        else:
+            g *= _STEP
         g += word_hashes[j : m + j]
     return mix(g)
 
