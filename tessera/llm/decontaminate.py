@@ -10,8 +10,9 @@ offsets. Documents are never shuffled, so no term, passage or group of copies is
 Two different words share a hash with probability 2**-64; a false match takes that for every word of a window.
 
 Defined cases: null or empty text has no words and no hits; items without words have no windows; an item of
-fewer words than a window is one window; repeated rows and null ids are kept as rows; empty tables give no
-rows; columns besides the two named are ignored.
+fewer words than a window is one window; repeated rows and null ids are kept as rows; an item with a null id hits
+words like any other and has no id to list; items that share an id are listed once; empty tables give no rows;
+columns besides the two named are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ from .common import raw, scratch, session, shared_dir, slices, staged, texts_of,
 SEGMENT_BYTES = 2 << 20
 #: Text of benchmark items that is sent to the executors at once.
 BLOCK_BYTES = 16 << 20
-_SEGMENTS = "doc_ids binary, nulls binary, n_words binary, terms binary, first binary, postings binary"
+_SEGMENTS = "segment long, doc_ids binary, nulls binary, n_words binary, terms binary, first binary, postings binary"
 _MATCHES = "doc_id long, item_id string, start long, size long"
 
 
@@ -48,6 +50,7 @@ def build(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -
     session(docs.sparkSession)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32  # unique once the table is written
         for b in batches:
             column = texts_of(b.column(1))
             data, offsets = raw(column)
@@ -55,7 +58,9 @@ def build(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -
                 s = _postings(data[offsets[i] : offsets[j]], offsets[i : j + 1])
                 ids = b.column(0).slice(i, j - i)
                 s |= {"doc_ids": ids.fill_null(0).to_numpy().astype("<i8"), "nulls": ids.is_null().to_numpy(zero_copy_only=False)}
-                yield pa.RecordBatch.from_pydict({c.split()[0]: pa.array([s[c.split()[0]].tobytes()], pa.binary()) for c in _SEGMENTS.split(", ")})
+                blobs = {c.split()[0]: pa.array([s[c.split()[0]].tobytes()], pa.binary()) for c in _SEGMENTS.split(", ")[1:]}
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([number], pa.int64())} | blobs)
+                number += 1
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return staged(rows.mapInArrow(segments, _SEGMENTS), path)
@@ -170,13 +175,13 @@ def near(s: Segment, q: Windows, slop: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[str, str]]]:
+def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[str | None, str]]]:
     """The items in blocks of about BLOCK_BYTES; only one block is on the driver at a time."""
-    rows = items.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null")
+    rows = items.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t")).where("t is not null")
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES)
     for b in range(n):
-        yield [(r.k, r.t) for r in (rows if n == 1 else rows.where(F.pmod(F.xxhash64("k"), F.lit(n)) == b)).collect()]
+        yield [(r.k, r.t) for r in (rows if n == 1 else rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == b)).collect()]
 
 
 def search(index: DataFrame, items: DataFrame, size: int = 10, slop: int | None = None, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -199,7 +204,7 @@ def search(index: DataFrame, items: DataFrame, size: int = 10, slop: int | None
                     n = last - at + 1
                 if len(win):
                     d = s.document(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[d], mask=s.nulls[d]), pa.array([q.items[i] for i in q.item[win]]), pa.array(at - s.start[d]), pa.array(n)], names=["doc_id", "item_id", "start", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[d], mask=s.nulls[d]), pa.array([q.items[i] for i in q.item[win]], pa.string()), pa.array(at - s.start[d]), pa.array(n)], names=["doc_id", "item_id", "start", "size"])
 
         return index.mapInArrow(matches, _MATCHES)
 
@@ -218,43 +223,44 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 def documents(index: DataFrame, items: DataFrame, size: int = 10, key: str = "item_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside exact occurrences of windows), items (sorted ids)."""
     spark = index.sparkSession
-    schema = "doc_id long, segment string, row int, n_words long, spans array<struct<a:long,z:long>>, items array<string>"
-    kind = pa.schema([("doc_id", pa.int64()), ("segment", pa.string()), ("row", pa.int32()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))), ("items", pa.list_(pa.string()))])
+    schema = "doc_id long, segment long, row int, n_words long, spans array<struct<a:long,z:long>>, items array<string>"
+    kind = pa.schema([("doc_id", pa.int64()), ("segment", pa.int64()), ("row", pa.int32()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
-    def one(block: list[tuple[str, str]], name_rows: bool) -> DataFrame:
+    def one(block: list[tuple[str | None, str]], hits_only: bool) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import hashlib
-
             q = Windows(sent.value, size)
             for row in _rows(batches):
                 s = Segment(row)
-                name = hashlib.sha1(row["doc_ids"] + row["terms"][:4096]).hexdigest() if name_rows else ""
                 win, at = phrases(s, q)
+                if hits_only and not len(win):
+                    continue
                 hit = words.covered(at, q.size[win], int(s.start[-1]) + 1)
                 edges = np.flatnonzero(np.diff(hit, prepend=False))
                 a, z = edges[::2], edges[1::2]
                 spans = [[] for _ in s.doc_ids]
                 for d, x, y in zip(s.document(a), a, z, strict=True):
                     spans[d].append({"a": int(x - s.start[d]), "z": int(y - s.start[d])})
-                found = [[] for _ in s.doc_ids]
-                for d, i in sorted(set(zip(s.document(at).tolist(), q.item[win].tolist(), strict=True))):
-                    found[d].append(q.items[i])
+                found = [set() for _ in s.doc_ids]
+                for d, i in set(zip(s.document(at).tolist(), q.item[win].tolist(), strict=True)):
+                    if q.items[i] is not None:
+                        found[d].add(q.items[i])
                 n = len(s.doc_ids)
-                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, mask=s.nulls), pa.array([name] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array(s.n_words), pa.array(spans, kind.field("spans").type), pa.array([sorted(set(x)) for x in found], kind.field("items").type)], schema=kind)
+                out = pa.RecordBatch.from_arrays([pa.array(s.doc_ids, mask=s.nulls), pa.array(np.full(n, row["segment"])), pa.array(np.arange(n, dtype=np.int32)), pa.array(s.n_words), pa.array(spans, kind.field("spans").type), pa.array([sorted(x) for x in found], kind.field("items").type)], schema=kind)
+                yield out.filter(pa.array([bool(x) for x in spans])) if hits_only else out
 
         return index.mapInArrow(run, schema)
 
     blocks = item_blocks(items, key, text)
-    first = next(blocks, [])
-    second = next(blocks, None)
+    every = one(next(blocks, []), False)
     width = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.z - s.a)
+    second = next(blocks, None)
     if second is None:
-        return one(first, False).select("doc_id", "n_words", width.alias("n_hit"), "items")
-    every = one(first, True).unionByName(one(second, True))
-    for block in blocks:
-        every = every.unionByName(one(block, True))
+        return every.select("doc_id", "n_words", width.alias("n_hit"), "items")
+    while second is not None:  # the first block's rows are all documents', later blocks' those with hits
+        every = every.unionByName(one(second, True))
+        second = next(blocks, None)
     joined = every.groupBy("segment", "row").agg(F.min("doc_id").alias("doc_id"), F.min("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end"))
     union = F.aggregate("s", start, lambda x, s: F.struct((x.n + F.greatest(F.lit(0).cast("long"), s.z - F.greatest(s.a, x.end))).alias("n"), F.greatest(x.end, s.z).alias("end")), lambda x: x.n)
