@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words
@@ -32,7 +32,6 @@ from .common import raw, scratch, session, shared_dir, slices, staged, texts_of,
 FIT_ROWS = 1000
 TABLE = 1 << 16
 TEMPER, HOST_WEIGHT, UND = 0.25, 20.0, "und"
-#: Nats a trigram that the background gains when a text's trigrams are unlike any language's.
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[0x41:0x5B] += 0x20
 _LETTER = np.ones(256, bool)
@@ -60,25 +59,34 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def fit(labelled: DataFrame, text: str = "text", language: str = "lang", fit_rows: int = FIT_ROWS) -> dict:
-    """Languages and their log trigram probabilities (fixed size), from at most fit_rows distinct texts a language."""
-    languages = [r[0] for r in labelled.where(F.col(language).isNotNull() & (F.col(language) != "")).groupBy(language).count().orderBy(F.desc("count"), language).collect()]
+    """Languages (every one that is declared) and their log trigram probabilities (TABLE numbers a language), from at most
+    fit_rows distinct texts a language. Two passes over the rows, whatever the number of languages."""
+    own = labelled.where(F.col(language).isNotNull() & (F.col(language) != "")).select(F.col(language).alias("own"), F.col(text).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    # the smallest hashes of each language, so that copies of a text count once: only hashes are shuffled
+    place = F.row_number().over(Window.partitionBy("own").orderBy("hash"))
+    cuts = own.select("own", "hash").distinct().withColumn("place", place).where(F.col("place") <= fit_rows).groupBy("own").agg(F.max("hash").alias("cut")).collect()
+    languages = sorted(r.own for r in cuts)
+    number, cut = {x: i for i, x in enumerate(languages)}, {r.own: r.cut for r in cuts}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TABLE, np.int64)
+        total: dict[str, np.ndarray] = {}
         for b in batches:
-            data, offsets = raw(texts_of(b.column(0)))
-            for i, j in slices(offsets):
-                g, _ = grams(data[offsets[i] : offsets[j]], offsets[i : j + 1])
-                total += np.bincount(g, minlength=TABLE)
-        yield pa.RecordBatch.from_pydict({"counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
-
-    tables = []
-    for x in languages:  # two small jobs a language: hashes first, so that copies of a text count once and few texts are shuffled
-        own = labelled.where(F.col(language) == x).select(F.col(text).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
-        cut = own.select("hash").distinct().orderBy("hash").limit(fit_rows).agg(F.max("hash")).first()[0]
-        rows = own.where(F.col("hash") <= cut).select("text").distinct()
-        tables.append(sum(np.frombuffer(r.counts, "<i8") for r in rows.mapInArrow(count, "counts binary").collect()))
-    seen = np.stack(tables) if tables else np.zeros((0, TABLE))
+            names, column = np.array(b.column(0).to_pylist()), texts_of(b.column(1))
+            for x in set(names.tolist()):
+                data, offsets = raw(column.filter(pa.array(names == x)))
+                for i, j in slices(offsets):
+                    g, _ = grams(data[offsets[i] : offsets[j]], offsets[i : j + 1])
+                    total[x] = total.get(x, 0) + np.bincount(g, minlength=TABLE)
+        for x, t in total.items():
+            at = np.flatnonzero(t)
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at), pa.array(t[at])], names=["own", "gram", "n"])
+
+    seen = np.zeros((len(languages), TABLE))
+    if languages:
+        limit = labelled.sparkSession.createDataFrame([(x, cut[x]) for x in languages], "own string, cut long")  # a row a language
+        rows = own.join(F.broadcast(limit), "own").where("hash <= cut").select("own", "text").distinct()
+        counted = rows.mapInArrow(count, "own string, gram long, n long").groupBy("own", "gram").agg(F.sum("n").alias("n")).toArrow()
+        np.add.at(seen, (np.array([number[x] for x in counted["own"].to_pylist()], np.int64), counted["gram"].to_numpy()), counted["n"].to_numpy())
     log = np.log((seen + 0.05) / (seen.sum(axis=1, keepdims=True) + 0.05 * TABLE))
     return {"languages": [*languages, UND], "log": np.vstack([log, np.full((1, TABLE), -np.log(TABLE))]).astype(np.float32)}
 
