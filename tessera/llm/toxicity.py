@@ -1,18 +1,22 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons (a stated seed list; lexicons of words and word beginnings drawn from the labelled training
-rows) and patterns. A generative label model takes each voter's rates of voting on toxic and on clean texts as its
-accuracy, and the voters' remaining correlation within a class as shared evidence, fits both by EM on the
-training rows' votes, and gives each row a posterior. A linear classifier over hashed words, word beginnings and
-patterns is trained on these posteriors and scores every text.
+Voters are lexicons (stated seed lists in four languages; lexicons of words and word beginnings drawn from labelled
+training rows) and patterns. Labels enter in two places only: lexicons are drawn from one half of the labelled rows
+and vote on the other half (so no row's label makes its own votes), and the share of toxic rows is taken as known.
 
-Fitting takes at most `fit_rows` labelled rows (documented bound; 12,000), the first by hash of doc_id; scoring
-and held-out evaluation cover all rows. Labels of held-out rows (crc32 of doc_id as text, modulo 5, is 0) never
-enter; lang, source, labels and doc_id are no features.
+A generative label model then sees votes alone. It starts from the voters' agreement and estimates by EM each voter's
+rates of voting on either class (its accuracy) and the voters' correlations within a class; a voter that doesn't vote
+abstains, silence of all lexicons is evidence of its own, and a vote counts 1 / (1 + its correlations with the other voters
+of that row). Its posteriors, and not the labels, are what a linear classifier over words, word beginnings and patterns is
+trained on; the classifier scores every text.
+
+Fitting takes at most `fit_rows` labelled rows (documented bound; 12,000), the first by hash of doc_id, and of these at most
+VOCABULARY words and beginnings, those in most rows; scoring covers all rows. Labels of held-out rows (crc32 of doc_id as
+text, modulo 5, is 0) never enter; lang, source, labels and doc_id are no features.
 
 Defined cases: null text is empty; an empty text scores the classifier's base rate; rows keep their doc_id, null
-(held out) and repeated ones too; without labelled rows of both classes every score is 0.5 less a rounding; an empty
-table gives no rows; other columns are ignored.
+(held out) and repeated ones too; labels of one doc_id that clash count as toxic; without labelled rows of both classes
+every score is 0.5 less a rounding; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,21 +29,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import raw, session, slices, texts_of
+from .common import raw, session, shared_dir, slices, staged, texts_of
 
 U64 = np.uint64
 FIT_ROWS = 12_000
+#: Words and beginnings that fitting looks at, and the fewest rows that must have one.
+VOCABULARY, RARE = 1 << 17, 4
 BUCKETS = 1 << 18
 LEXICONS, PER_LEXICON = 24, 4
-#: A small English list of insults, by kind.
+#: The least log ratio of a lexicon's word; the least |log ratio| * sqrt(rows) of a classifier's word.
+TELLING, FEATURE = 2.0, 7.0
+#: Small lists of insults.
 SEEDS = {
-    "insult": ["idiot", "idiots", "moron", "morons", "stupid", "dumb", "imbecile", "fool"],
-    "contempt": ["loser", "losers", "pathetic", "worthless", "clown", "failure"],
-    "disgust": ["scum", "trash", "garbage", "disgusting", "filthy", "vermin"],
-    "threat": ["kill", "die", "destroy", "hurt"],
+    "en insult": ["idiot", "idiots", "moron", "morons", "stupid", "dumb", "imbecile", "fool"],
+    "en contempt": ["loser", "losers", "pathetic", "worthless", "clown", "failure"],
+    "en disgust": ["scum", "trash", "garbage", "disgusting", "filthy", "vermin"],
+    "en threat": ["kill", "die", "destroy", "hurt"],
+    "de": ["idiot", "idioten", "dumm", "dummkopf", "trottel", "abschaum", "arschloch", "wertlos"],
+    "fr": ["idiot", "idiote", "imbécile", "crétin", "abruti", "connard", "salaud", "ordure"],
+    "es": ["idiota", "imbécil", "estúpido", "estúpida", "basura", "escoria", "cabrón", "inútil"],
 }
 PATTERNS = ("shouting", "exclaiming", "repeating", "symbols")
-_PREFIXES = (4, 5)
+_PREFIXES = (4, 5, 6, 7, 8)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,86 +84,142 @@ def hash_words(texts: list[str], mark: int = 0) -> np.ndarray:
     return words.split(data, offsets, "alnum", fold=True).hashes()
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, dict]:
-    """Posterior of class 1 for each row of 0/1 votes, by EM from the start posterior.
+def fit_label_model(votes: np.ndarray, balance: float, rounds: int = 25) -> tuple[np.ndarray, dict]:
+    """Posterior of class 1 for each row of 0/1 votes (0: abstains), by EM from the voters' agreement alone.
 
-    accuracy[c, j]: rate at which voter j votes on class c. discount[j]: 1 / (1 + its absolute correlations with
-    other voters within the classes), so voters that repeat one another count as about one.
+    balance: share of class 1, known. rate[c, j]: how often voter j votes on class c; the last voter is silence, which
+    votes where no other does. correlation: what is left of it between two voters within the classes.
     """
-    q, v = start.astype(float), votes.astype(float)
+    many = votes.sum(axis=1)
+    v = np.column_stack([votes, many == 0]).astype(float)
+    q = np.where(many >= 2, 0.95, np.where(many == 1, 0.7, 0.02))
     model: dict = {}
     for _ in range(rounds):
         weight = np.stack([1 - q, q])
         rate = (weight @ v + 0.5) / (weight.sum(axis=1, keepdims=True) + 1.0)
-        prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
         rest = v - (1 - q)[:, None] * rate[0] - q[:, None] * rate[1]
         cov = rest.T @ rest / max(1, len(v))
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        corr = np.abs(cov / sd[:, None] / sd)
+        corr = np.clip(cov / sd[:, None] / sd, 0, 1)
         np.fill_diagonal(corr, 0)
-        corr[corr < 0.1] = 0
-        discount = 1 / (1 + corr.sum(axis=1))
-        on, off = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
-        z = np.log(prior / (1 - prior)) + v @ (discount * on) + (1 - v) @ (discount * off)
-        new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        model = {"accuracy": rate, "correlation": corr, "discount": discount, "prior": prior}
-        if np.abs(new - q).max() < 1e-4:
-            q = new
+        corr[corr < 0.05] = 0
+        z = (v * np.log(rate[1] / rate[0]) / (1 + v @ corr)).sum(axis=1)
+        low, high = -60.0, 60.0  # the offset at which the posteriors' mean is the balance
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if _sigmoid(z + mid).mean() < balance else (low, mid)
+        new, moved = _sigmoid(z + low), 0.0
+        moved, q = np.abs(new - q).max(), new
+        model = {"rate": rate, "correlation": corr, "offset": low}
+        if moved < 1e-4:
             break
-        q = new
     return q, model
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _ratio(bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float) -> np.ndarray:
+    return np.log((bad + 0.25) / (n_bad + 0.5)) - np.log((good + 0.25) / (n_good + 0.5))
+
+
+def draw_lexicons(doc: np.ndarray, word: np.ndarray, y: np.ndarray, among: np.ndarray, size: int) -> list[np.ndarray]:
+    """LEXICONS lists of words out of `size` that tell toxic rows (y) from others among some; (doc, word): these rows' distinct words.
+
+    The next word is the most telling one among toxic rows, each counted less for every word it has already."""
+    bad, good = np.bincount(word[y[doc]], minlength=size), np.bincount(word[~y[doc]], minlength=size)
+    ratio = _ratio(bad, good, (y & among).sum(), (~y & among).sum())
+    able = (bad >= 3) & (ratio > TELLING)
+    of = y[doc] & able[word]
+    doc, word, had, drawn = doc[of], word[of], np.zeros(len(y)), []
+    while len(drawn) < LEXICONS * PER_LEXICON:
+        gain = np.where(able, ratio * np.sqrt(np.bincount(word, 1 / (1 + had[doc]), minlength=size)), 0)
+        j = int(gain.argmax()) if size else 0
+        if not size or gain[j] <= 2:
+            break
+        drawn.append(j)
+        able[j] = False
+        had[doc[word == j]] += 1
+    return [np.array(drawn[k::LEXICONS], np.int64) for k in range(LEXICONS)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     """The scorer: bucket weights, pattern weights and bias (of fixed size), and the label model for inspection."""
+    spark = session(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null and pmod(crc32(cast(doc_id as string)), 5) <> 0")
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    halved = chosen.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = raw(texts_of(b.column(1)))
+            data, offsets = raw(texts_of(b.column(2)))
             for i, j in slices(offsets):
                 g, at, votes = features(data[offsets[i] : offsets[j]], offsets[i : j + 1])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([g[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([r.tobytes() for r in votes], pa.binary())], names=["toxic", "words", "votes"])
+                own = b.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([g[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([r.tobytes() for r in votes], pa.binary())], names=["toxic", "half", "words", "votes"])
 
-    # at most FIT_ROWS small rows: their ids are broadcast, and what comes back is their distinct word hashes
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = joined.select("toxic", "text").mapInArrow(run, "toxic int, words binary, votes binary").collect()
-    y = np.array([r.toxic for r in rows], bool)
+    # at most fit_rows small rows: their ids are broadcast
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(halved), "doc_id")
+    rows = staged(joined.select("toxic", "half", "text").mapInArrow(run, "toxic int, half int, words binary, votes binary"), shared_dir(spark, "toxic-rows"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, n = np.unique(np.frombuffer(b"".join(b.column(2).to_pylist()), "<i8"), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
+
+    counted = rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= RARE)
+    vocabulary = np.sort(counted.orderBy(F.desc("n"), "h").limit(VOCABULARY).select("h").toArrow()["h"].to_numpy().view(U64))
+    sent = spark.sparkContext.broadcast(vocabulary)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for b in batches:
+            found = []
+            for w in b.column(2).to_pylist():
+                w = np.frombuffer(w, "<u8")
+                place = np.searchsorted(known, w)
+                found.append(place[np.append(known, U64(0))[place] == w].astype("<i4").tobytes() if len(known) else b"")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary()), b.column(3)], names=["toxic", "half", "words", "votes"])
+
+    seen = rows.mapInArrow(pick, "toxic int, half int, words binary, votes binary").toArrow()
+    y, half = seen["toxic"].to_numpy() > 0, seen["half"].to_numpy() > 0
     if not len(y) or y.all() or not y.any():
         return {"weights": np.zeros(BUCKETS, np.float32), "patterns": np.zeros(len(PATTERNS)), "bias": -1e-6, "label_model": {}}
-    sets = [np.frombuffer(r.words, "<u8") for r in rows]
-    patterns = np.stack([np.frombuffer(r.votes, np.bool_) for r in rows])
-    vocabulary, index = np.unique(np.concatenate(sets), return_inverse=True)
-    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    bad = np.bincount(index[y[doc]], minlength=len(vocabulary))
-    good = np.bincount(index[~y[doc]], minlength=len(vocabulary))
-    ratio = np.log((bad + 0.25) / (y.sum() + 0.5)) - np.log((good + 0.25) / ((~y).sum() + 0.5))
-    # lexicons: the most telling words, dealt out so that each lexicon has strong and weaker ones
-    order = np.argsort(-ratio * np.sqrt(bad), kind="stable")
-    order = order[(bad[order] >= 4) & (ratio[order] > 2)][: LEXICONS * PER_LEXICON]
-    lexicons = [order[k::LEXICONS] for k in range(min(LEXICONS, len(order)))]
-    seeds = [np.flatnonzero(np.isin(vocabulary, hash_words(x))) for x in SEEDS.values()]
-    columns = []
-    for members in [*lexicons, *seeds]:
-        hit = np.zeros(len(sets), bool)
-        hit[doc[np.isin(index, members)]] = True
-        columns.append(hit)
-    votes = np.column_stack([*columns, patterns])
-    posterior, model = fit_label_model(votes, np.where(y, 0.95, 0.05))
-    # a row's own label is one more voter, taken to be right 19 times in 20
-    z = np.log(posterior + 1e-9) - np.log(1 - posterior + 1e-9) + np.where(y, 1, -1) * np.log(19)
-    soft = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    keep = np.flatnonzero((bad + good >= 4) & (np.abs(ratio) * np.sqrt(bad + good) > 6) & ((ratio > 0) | (good > 40)))
-    keep = keep[np.argsort(-np.abs(ratio[keep]) * np.sqrt((bad + good)[keep]), kind="stable")][:20_000]
-    column = np.full(len(vocabulary), -1)
-    column[keep] = np.arange(len(keep))
-    weights, pattern_weights, bias = _logistic(doc, column[index], len(keep), patterns, soft)
+    sets = [np.frombuffer(x, "<i4") for x in seen["words"].to_pylist()]
+    patterns = np.stack([np.frombuffer(x, np.bool_) for x in seen["votes"].to_pylist()])
+    word, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    weights, pattern_weights, bias, keep, model = learn(doc, word, y, half, patterns, vocabulary)
     table = np.zeros(BUCKETS, np.float32)
     np.add.at(table, (vocabulary[keep] % U64(BUCKETS)).astype(np.int64), weights)
     return {"weights": table, "patterns": pattern_weights, "bias": float(bias), "label_model": model}
 
 
+def learn(doc: np.ndarray, word: np.ndarray, y: np.ndarray, half: np.ndarray, patterns: np.ndarray, vocabulary: np.ndarray):
+    """Weights, pattern weights, bias, the words that have weights, and the label model, of rows' distinct words."""
+    n, size = len(y), len(vocabulary)
+    votes = np.zeros((n, LEXICONS + len(SEEDS)), bool)
+    for side in (False, True):
+        own = (half == side)[doc]
+        if (y & (half == side)).any():
+            for k, members in enumerate(draw_lexicons(doc[own], word[own], y, half == side, size)):
+                votes[doc[~own & np.isin(word, members)], k] = True
+    for k, seeds in enumerate(SEEDS.values()):
+        members = np.flatnonzero(np.isin(vocabulary, hash_words(seeds)))
+        votes[doc[np.isin(word, members)], LEXICONS + k] = True
+    posterior, model = fit_label_model(np.column_stack([votes, patterns]), y.mean())
+    bad = np.bincount(word, posterior[doc], minlength=size)
+    rows = np.bincount(word, minlength=size)
+    ratio = _ratio(bad, rows - bad, posterior.sum(), n - posterior.sum())
+    weight = np.abs(ratio) * np.sqrt(rows)
+    keep = np.flatnonzero((weight > FEATURE) & ((ratio > 0) | (rows - bad > 40)))
+    keep = keep[np.argsort(-weight[keep], kind="stable")][:20_000]
+    column = np.full(size, -1)
+    column[keep] = np.arange(len(keep))
+    weights, pattern_weights, bias = _logistic(doc, column[word], len(keep), patterns, posterior)
+    return weights, pattern_weights, bias, keep, model | {"posterior": posterior, "votes": votes}
+
+
 def _logistic(doc: np.ndarray, column: np.ndarray, width: int, patterns: np.ndarray, soft: np.ndarray, rounds: int = 300, ridge: float = 2e-4):
     """Weights of words (present or not), of patterns, and the bias, by gradient descent with momentum on soft labels."""
     seen = column >= 0
