@@ -30,7 +30,8 @@ def valid_bucket(name: Column) -> Column:
 
 
 def valid_key(key: Column) -> Column:
-    return (F.octet_length(key) <= 1024) & (F.octet_length(key) > 0) & ~key.rlike(r"(^|/)\.\.(/|$)") & ~key.rlike("[\\x00-\\x1f\\x7f]")
+    """At most 1,024 bytes, no control characters, no .. segment and no percent-encoded one."""
+    return (F.octet_length(key) <= 1024) & ~key.rlike(r"(^|/)\.\.(/|$)") & ~key.rlike("[\\x00-\\x1f]") & ~key.rlike(r"(?i)%2e%2e|%2e\.|\.\.%2e")
 
 
 def parse_size(s: Column) -> Column:
@@ -60,3 +61,33 @@ def byte_range(header: Column, size: Column) -> Column:
     start = F.when(a.isNull(), F.greatest(F.lit(0), size - z)).otherwise(a)
     end = F.when(a.isNull() | z.isNull(), size - 1).otherwise(F.least(z, size - 1))
     return F.when((a.isNotNull() | z.isNotNull()) & (start <= end) & (start < size), F.struct(start.alias("start"), end.alias("end")))
+
+
+def glob_match(pattern: Column, text: Column) -> Column:
+    """Whether a pattern of * (any text) and ? (one character) matches the whole text; all else stands for itself."""
+    return F.rlike(text, glob(pattern))
+
+
+def directory(key: Column) -> Column:
+    """A key up to its last slash, empty without one."""
+    return F.regexp_extract(key, "^(.*/)", 1)
+
+
+def shorten(text: Column, most: int) -> Column:
+    return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+
+
+def strip_prefix(text: Column, prefix: str) -> Column:
+    """The text without a prefix, whatever its case."""
+    return F.when(F.lower(F.substring(text, 1, len(prefix))) == prefix.lower(), F.substring(text, len(prefix) + 1, 1 << 20)).otherwise(text)
+
+
+def parse_filter(text: Column) -> Column:
+    """k=v&k=v as a map; parts that aren't a key, one = and a value are left out, the last of equal keys wins."""
+    parts = F.filter(F.split(text, "&"), lambda p: p.rlike("^[^=]+=[^=]*$"))
+    return F.map_from_entries(F.transform(parts, lambda p: F.struct(F.split_part(p, F.lit("="), F.lit(1)).alias("key"), F.split_part(p, F.lit("="), F.lit(2)).alias("value"))))
+
+
+def upload_allowed(content_type: Column, allowed: tuple[str, ...]) -> Column:
+    """An empty list allows all; otherwise the type has to begin with one of the list."""
+    return F.lit(True) if not allowed else F.exists(F.array(*[F.lit(a) for a in allowed]), lambda a: content_type.startswith(a))

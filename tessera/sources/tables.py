@@ -44,3 +44,21 @@ DUCK = {
     "parts": "SELECT l_orderkey AS upload_id, l_linenumber AS part_number, CAST(max(l_quantity) AS BIGINT) AS size FROM lineitem GROUP BY ALL",
 }
 ADAPTERS = {"objects": objects, "access_events": access_events, "vectors": vectors, "parts": parts}
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes and delete markers of objects in five buckets, one for each event."""
+    e = table(spark, sf_dir, "events")
+    k, t = F.get_json_object("props", "$.k"), F.col("event_type")
+    return e.select("event_id", F.concat(F.lit("b"), F.col("user_id") % 5).alias("bucket"), F.concat_ws("/", t, k, (F.col("user_id") % 3).cast("string")).alias("key"), F.md5(F.col("event_id").cast("string").cast("binary")).alias("version_id"), (F.col("event_id") % 7 == 0).alias("delete_marker"), F.floor("value").alias("size"), F.col("ts").alias("modified_at"), t.alias("kind"))
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multipart uploads that expire a day after they began."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("upload_id"), F.col("o_orderpriority").alias("bucket"), F.concat(F.lit("c"), F.col("o_custkey")).alias("key"), F.col("o_orderdate").alias("created_at"), (F.col("o_orderdate") + F.expr("INTERVAL '24' HOUR")).alias("expires_at"))
+
+
+DUCK["versions"] = "SELECT event_id, 'b' || (user_id % 5) AS bucket, event_type || '/' || json_extract_string(props, '$.k') || '/' || (user_id % 3) AS key, md5(CAST(event_id AS VARCHAR)) AS version_id, event_id % 7 = 0 AS delete_marker, CAST(floor(value) AS BIGINT) AS size, ts AS modified_at, event_type AS kind FROM events"
+DUCK["uploads"] = "SELECT o_orderkey AS upload_id, o_orderpriority AS bucket, 'c' || o_custkey AS key, o_orderdate AS created_at, o_orderdate + INTERVAL 24 HOUR AS expires_at FROM orders"
+ADAPTERS |= {"versions": versions, "uploads": uploads}
