@@ -11,18 +11,21 @@ at the threshold is linked:
   are candidates, so a group of n near copies takes about n confirmations. What reach and labels miss here costs no link.
 * Then every class is joined with the others by its rarest shingles. All sets are sorted by one order, by a table of
   counts and then by hash (any table gives the same links). Two sets of a and b shingles at the threshold t share at least
-  ceil(t * max(a, b)), so they share one of the first n - ceil(t * n) + 1 shingles of each. Pairs that share c of these and
-  can't reach the threshold with all that follow in either are dropped; the others are confirmed.
+  o = ceil(t * (a + b) / (1 + t)), so the first that they share has at most a - o shingles before it in one set and
+  b - o in the other. Only pairs of different components that share a shingle at such places are confirmed. In a group of
+  edited copies the shingles of their edits come first and those that all have come last, so copies that aren't near
+  enough meet at no such place, and the pairs don't grow with the square of the group.
 
-Candidates are confirmed on full sets of 64-bit shingle hashes. Many classes that share rare shingles, are in different
-components and aren't near enough to be linked make pairs by the square of their number.
+Candidates are confirmed on full sets of 64-bit shingle hashes. A shingle's list of more than LIST classes is dealt as a
+grid of blocks of it, so a task holds two blocks at most.
 
 Orders are dealt by ranges that include the doc_id, so a region of any size is split; neighbours that a range's
 end parts are compared in a second pass over the ends alone.
 
 Defined cases: null or empty text, and text without words, has an empty set and links with nothing; a text
 with fewer words than a shingle has its whole word sequence as one shingle; rows that share a doc_id are one
-document; rows with a null doc_id are kept and take part in no link (component_id null); an empty table
+document, whose set is that of its row with the smallest digest of the set (n_shingles is each row's own); rows with a
+null doc_id are kept and take part in no link (component_id null); an empty table
 gives no rows; columns besides doc_id and text are ignored.
 """
 
@@ -48,8 +51,8 @@ CHECK = 64
 EARLY = 4
 #: Slots of the table of counts, and of each row that holds a part of it.
 SLOTS, SLOT_ROW = 1 << 20, 1 << 16
-#: Rows and pairs that the join by rare shingles takes at once.
-POSTINGS, PAIRS = 1 << 16, 1 << 20
+#: Rows and pairs that the join by rare shingles takes at once; entries of a shingle's list from which it is split.
+POSTINGS, PAIRS, LIST = 1 << 16, 1 << 20, 1 << 16
 _ORDER = "tree int, hi long, lo long, id long, part long, sig binary"
 
 
@@ -86,6 +89,17 @@ def labels(g: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
     return (words.mix(out) >> U64(48)).astype(">u2")
 
 
+def _digests(g: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """128 bits of each row's set, none of an empty one's."""
+    out, full = [b""] * (len(bounds) - 1), np.flatnonzero(np.diff(bounds))
+    if len(full):
+        at = bounds[:-1][full]
+        x, y = np.add.reduceat(words.mix(g), at), np.add.reduceat(words.mix(g ^ U64(0x5851F42D4C957F2D)), at)
+        for r, d in enumerate(full):
+            out[d] = x[r].tobytes() + y[r].tobytes()
+    return out
+
+
 def sketch(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, same (128 bits that equal sets share), labels of each row with a doc_id; and each task's
     table of how often it saw shingles (255 at most), in rows without a doc_id: n_shingles is their place, same the counts."""
@@ -99,14 +113,12 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 g, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1], k)
                 seen += np.bincount(_slot(g), minlength=SLOTS)
                 n = np.diff(bounds)
-                same, marks = [b""] * (j - i), [b""] * (j - i)
+                same, marks = _digests(g, bounds), [b""] * (j - i)
                 full = np.flatnonzero(n)
                 if len(full):
-                    at = bounds[:-1][full]
-                    x, y = np.add.reduceat(words.mix(g), at), np.add.reduceat(words.mix(g ^ U64(0x5851F42D4C957F2D)), at)
-                    m = labels(g, np.append(at, len(g)), TREES * DEPTH)
+                    m = labels(g, np.append(bounds[:-1][full], len(g)), TREES * DEPTH)
                     for r, d in enumerate(full):
-                        same[d], marks[d] = x[r].tobytes() + y[r].tobytes(), m[r].tobytes()
+                        marks[d] = m[r].tobytes()
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(same, pa.binary()), pa.array(marks, pa.binary())], names=fields)
         if seen.any():
             rows = np.minimum(seen, 255).astype(np.uint8).reshape(-1, SLOT_ROW)
@@ -230,35 +242,55 @@ def rarest(docs: DataFrame, table: np.ndarray, k: int, percent: int) -> DataFram
     return _rows(docs).where("doc_id is not null").mapInArrow(run, "id long, n_shingles long, rare binary").where("n_shingles > 0")
 
 
+def _both(n, m, percent: int):
+    """Shingles that sets of n and m share at least, if they are near."""
+    return (percent * (n + m) + 99 + percent) // (100 + percent)
+
+
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each rare shingle of classes (id, part, n_shingles, rare)."""
+    """A row for each rare shingle of classes (id, part, n_shingles, rare); place holds n_shingles and the shingle's place."""
     for b in batches:
-        times = np.array([len(x.as_buffer()) // 8 for x in b.column(3)])
+        times = np.array([len(x.as_buffer()) // 8 for x in b.column(3)], np.int64)
         h = np.frombuffer(b"".join(b.column(3).to_pylist()), "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(h), *[pa.array(np.repeat(b.column(c).to_numpy(), times)) for c in range(3)]], names=["h", "id", "part", "n"])
+        at = np.arange(len(h)) - np.repeat(np.cumsum(times) - times, times)
+        ids, part, n = (np.repeat(b.column(c).to_numpy(), times) for c in range(3))
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(part), pa.array((n << 32) | at)], names=["h", "id", "part", "place"])
 
 
 def _sharing(percent: int):
-    """Pairs (a, b) of different parts for each shingle of rows sorted by (h, part), with how many they have to share."""
-
-    def pairs(h: np.ndarray, ids: np.ndarray, part: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        top = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        run = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (part[1:] != part[:-1])]))
-        size = len(h)
-        group_end = np.repeat(np.append(top[1:], size), np.diff(np.append(top, size)))
-        run_end = np.repeat(np.append(run[1:], size), np.diff(np.append(run, size)))
-        left = np.flatnonzero(group_end > run_end)
-        many = (group_end - run_end)[left]
+    """Pairs (a, b) of different parts that meet at a near pair's first shared shingle, from rows sorted by (h, cell, role,
+    part). Roles: 0 and 1 are the two sides of a cell of a split list, 2 is both."""
+
+    def pairs(h, cell, role, ids, part, place) -> Iterator[pa.RecordBatch]:
+        size, n, at = len(h), place >> 32, place & 0xFFFFFFFF
+        ends = lambda new: (np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], size))
+        new_cell = np.concatenate([[True], (h[1:] != h[:-1]) | (cell[1:] != cell[:-1])])
+        new_part = new_cell | np.concatenate([[True], (role[1:] != role[:-1]) | (part[1:] != part[:-1])])
+        (top, end), (run, run_end) = ends(new_cell), ends(new_part)
+        top, end = (np.repeat(x, end - top) for x in (top, end))
+        run, run_end = (np.repeat(x, run_end - run) for x in (run, run_end))
+        split = role < 2
+        if split.any():  # the right side are the cell's rows of role 1, none of which is passed over
+            right = end - np.add.reduceat((role == 1).astype(np.int64), np.unique(top))[np.searchsorted(np.unique(top), top)]
+            top, run, run_end = np.where(split, right, top), np.where(split, right, run), np.where(split, right, run_end)
+        before, many = run - top, run - top + end - run_end
+        # the smaller set of a near pair, or one of two equal ones, has the shingle among these
+        left = np.flatnonzero((role != 1) & (many > 0) & (at <= n - _both(n, n, percent)))
+        many = many[left]
         total, i = np.concatenate([[0], np.cumsum(many)]), 0
         while i < len(left):
             j = max(i + 1, int(np.searchsorted(total, total[i] + PAIRS, "right")) - 1)
             x = np.repeat(left[i:j], many[i:j])
-            y = run_end[x] + np.arange(len(x)) - np.repeat(total[i:j] - total[i], many[i:j])
-            near = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
-            x, y = x[near], y[near]
-            both = (percent * (n[x] + n[y]) + 99 + percent) // (100 + percent)
-            need = both - _least(np.maximum(n[x], n[y]), percent) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y])), pa.array(need)], names=["a", "b", "need"])
+            step = np.arange(len(x)) - np.repeat(total[i:j] - total[i], many[i:j])
+            y = np.where(step < before[x], top[x] + step, run_end[x] + step - before[x])
+            ok = ((n[x] < n[y]) | ((n[x] == n[y]) & (ids[x] < ids[y]))) & (100 * n[x] >= percent * n[y]) & (part[x] != part[y])
+            x, y = x[ok], y[ok]
+            both = _both(n[x], n[y], percent)
+            ok = (at[x] <= n[x] - both) & (at[y] <= n[y] - both)
+            a, b = ids[x[ok]], ids[y[ok]]
+            if len(a):
+                once = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in once.T], names=["a", "b"])
             i = j
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +301,8 @@ def _sharing(percent: int):
             if size < limit:
                 continue
             cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last shingle may go on
+            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last cell may go on
             if cut:
                 yield from pairs(*[c[:cut] for c in cols])
             held, size = [[c[cut:] for c in cols]], size - cut
@@ -281,11 +314,17 @@ def _sharing(percent: int):
 
 
 def sharing(rare: DataFrame, parted: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes (id, part) of different parts that share as many rare shingles as near sets have to."""
-    rows = rare.join(parted.select("id", "part"), "id").select("id", "part", "n_shingles", "rare").mapInArrow(_spread, "h long, id long, part long, n long")
-    dealt = rows.repartition(tasks_for(rare.sparkSession), "h").sortWithinPartitions("h", "part")
-    each = dealt.mapInArrow(_sharing(percent), "a long, b long, need long")
-    return each.groupBy("a", "b", "need").count().where("count >= need").select("a", "b")
+    """Pairs (a, b) of classes (id, part) of different parts that meet at a rare shingle as near pairs have to."""
+    rows = rare.join(parted.select("id", "part"), "id").select("id", "part", "n_shingles", "rare").mapInArrow(_spread, "h long, id long, part long, place long")
+    long = rows.groupBy("h").count().where(F.col("count") > LIST).select("h", F.ceil(F.col("count") / LIST).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    other = lambda f: F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), f)
+    sides = F.concat(other(lambda j: F.struct((own * F.col("blocks") + j).alias("cell"), F.lit(0).alias("role"))), other(lambda i: F.struct((i * F.col("blocks") + own).alias("cell"), F.lit(1).alias("role"))))
+    whole = F.array(F.struct(F.lit(0).alias("cell"), F.lit(2).alias("role")))
+    placed = rows.join(long, "h", "left").withColumn("c", F.explode(F.when(F.col("blocks").isNull(), whole).otherwise(sides)))
+    placed = placed.select("h", "c.cell", "c.role", "id", "part", "place")
+    dealt = placed.repartition(tasks_for(rare.sparkSession), "h", "cell").sortWithinPartitions("h", "cell", "role", "part")
+    return dealt.mapInArrow(_sharing(percent), "a long, b long").distinct()
 
 
 def sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -296,10 +335,10 @@ def sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             data, offsets = raw(texts_of(b.column(1)))
             for i, j in slices(offsets):
                 g, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1], k)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([g[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["id", "hashes"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(_digests(g, bounds), pa.binary()), pa.array([g[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["id", "same", "hashes"])
 
     needed = _rows(docs).join(ids.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")  # alike at every size
-    return needed.mapInArrow(run, "id long, hashes binary").dropDuplicates(["id"])
+    return needed.mapInArrow(run, "id long, same binary, hashes binary").groupBy("id").agg(F.min(F.struct("same", "hashes")).alias("m")).select("id", "m.hashes")
 
 
 def confirm(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
@@ -328,9 +367,12 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     path = shared_dir(spark, "near-dups")
     sketched = staged(sketch(docs, k), f"{path}/sketch")
     drawn = sketched.where("doc_id is not null")
-    grouped = drawn.where("n_shingles > 0").groupBy("same").agg(F.min(F.struct("doc_id", "labels")).alias("m"))
+    repeated = staged(drawn.groupBy("doc_id").agg(F.min("same").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), f"{path}/repeated")
+    if not repeated.isEmpty():  # one set a document
+        drawn = staged(drawn.join(repeated, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("first", "same").alias("same"), F.when(F.col("first").isNull() | (F.col("first") == F.col("same")), F.col("labels")).alias("labels")), f"{path}/drawn")
+    grouped = drawn.where("labels is not null and same <> x''").groupBy("same").agg(F.min(F.struct("doc_id", "labels")).alias("m"))
     classes = staged(grouped.select("same", F.col("m.doc_id").alias("id"), F.col("m.labels").alias("labels")), f"{path}/classes")
-    one_row = classes.select("id", "labels").dropDuplicates(["id"])
+    one_row = classes.select("id", "labels")
 
     def parted(known: DataFrame, *columns: str) -> DataFrame:
         return one_row.join(known.withColumnRenamed("node", "id"), "id", "left").select("id", *columns, F.coalesce("component", "id").alias("part"))
@@ -357,8 +399,10 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     if not made.isEmpty():
         known = components(links.unionAll(made), f"{path}/rare-components")
     of_set = classes.select("same", F.col("id").alias("class"))
-    rows = drawn.select("doc_id", "n_shingles", "same").join(of_set, "same", "left").join(known.withColumnRenamed("node", "class"), "class", "left")
+    drawn = drawn.select("doc_id", "n_shingles", "same")
+    rows = drawn.where("same <> x''").join(of_set, "same", "left").join(known.withColumnRenamed("node", "class"), "class", "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
+    rows = rows.unionAll(drawn.where("same = x''").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     no_id = _rows(docs).where("doc_id is null").mapInArrow(_count_only(k), "doc_id long, n_shingles long, component_id long")
     return rows.unionAll(no_id).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -391,11 +435,13 @@ def _count_only(k: int):
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group: that with the smallest doc_id, in one row; null ids stay."""
+    """docs with one document of each group: that with the smallest doc_id, in one row (of several the first one as JSON);
+    null ids stay."""
     spark = session(docs.sparkSession)
     repeated = staged(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), shared_dir(spark, "repeated"))
     if not repeated.isEmpty():
-        once = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+        row = F.struct(*[F.col(c) for c in docs.columns])
+        once = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
         docs = staged(docs.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once), shared_dir(spark, "one-row", keep=True))
     with scratch(spark):
         return without(docs, groups(docs, k, percent).where("not kept").select("doc_id"), "near-dups-out")
