@@ -85,7 +85,8 @@ def strip_prefix(text: Column, prefix: str) -> Column:
 def parse_filter(text: Column) -> Column:
     """k=v&k=v as a map; parts that aren't a key, one = and a value are left out, the last of equal keys wins."""
     parts = F.filter(F.split(text, "&"), lambda p: p.rlike("^[^=]+=[^=]*$"))
-    return F.map_from_entries(F.transform(parts, lambda p: F.struct(F.split_part(p, F.lit("="), F.lit(1)).alias("key"), F.split_part(p, F.lit("="), F.lit(2)).alias("value"))))
+    pairs = F.transform(parts, lambda p: F.struct(F.split_part(p, F.lit("="), F.lit(1)).alias("key"), F.split_part(p, F.lit("="), F.lit(2)).alias("value")))
+    return F.map_from_entries(F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda x: x.key == e.key)))
 
 
 def upload_allowed(content_type: Column, allowed: tuple[str, ...]) -> Column:

@@ -46,12 +46,53 @@ def tier(score: Column) -> Column:
     return F.when(score > 80, 0).when(score > 60, 1).when(score > 20, 2).otherwise(3)
 
 
-def decisions(objects: DataFrame, events: DataFrame, as_of: str) -> DataFrame:
-    """Objects whose tier should change: events are aggregated before they meet objects."""
+#: Names of the tiers, the hottest first.
+TIERS = ("HOT", "WARM", "COLD", "ARCHIVE")
+
+
+def scores(objects: DataFrame, events: DataFrame, as_of: str, pins: DataFrame | None = None) -> DataFrame:
+    """bucket, key, current_tier, score, target_tier of accessed objects that aren't pinned: events are aggregated before
+    they meet objects. pins (key, priority, fixed_tier) weigh objects or hold them where they are (null: neither)."""
     joined = objects.join(access_frequency(events, as_of), objects.key == F.col("object_key"))
-    score = hotness(F.col("frequency"), recency("last_access", as_of), content_score("content_type"), size_score("size"), F.lit(0.0))
-    out = joined.select("bucket", "key", F.col("storage_tier").alias("current_tier"), F.round(score, 6).alias("score")).withColumn("target_tier", tier(F.col("score")))
-    return out.where("current_tier <> target_tier")
+    priority = F.lit(0.0)
+    if pins is not None:
+        joined = joined.join(pins.select("key", "priority", "fixed_tier"), "key", "left").where(~F.coalesce("fixed_tier", F.lit(False)))
+        priority = F.coalesce(F.col("priority").cast("double"), F.lit(0.0))
+    score = hotness(F.col("frequency"), recency("last_access", as_of), content_score("content_type"), size_score("size"), priority)
+    return joined.select("bucket", "key", "last_access", F.col("storage_tier").alias("current_tier"), F.round(score, 6).alias("score")).withColumn("target_tier", tier(F.col("score")))
+
+
+def decisions(objects: DataFrame, events: DataFrame, as_of: str, pins: DataFrame | None = None) -> DataFrame:
+    """Objects whose tier should change."""
+    return scores(objects, events, as_of, pins).where("current_tier <> target_tier").drop("last_access")
+
+
+def name_of(number: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(t) for t in TIERS]), number + 1)
+
+
+def number_of(name: Column) -> Column:
+    """The tier of a name; an unknown one is COLD."""
+    out = F.when(F.upper(name) == TIERS[0], 0)
+    for i, t in enumerate(TIERS[1:], 1):
+        out = out.when(F.upper(name) == t, i)
+    return out.otherwise(2)
+
+
+def reason(score: Column, current: Column, target: Column) -> Column:
+    """Why an object moves, with its score to two places."""
+    return F.concat(F.lit("hotness score "), F.format_string("%.2f", score), F.lit(": "), name_of(current), F.lit(" to "), name_of(target))
+
+
+def latest_first(decided: DataFrame, n: int) -> DataFrame:
+    """The n decisions whose objects were accessed last."""
+    return decided.orderBy(F.desc("last_access"), "key").limit(n)
+
+
+def pin(pins: DataFrame, requests: DataFrame) -> DataFrame:
+    """pins (key, priority, fixed_tier) after requests (key, fixed_tier) to hold or release objects; priorities stay."""
+    asked = requests.select("key", F.col("fixed_tier").alias("__fixed"))
+    return pins.join(asked, "key", "full").select("key", "priority", F.coalesce("__fixed", "fixed_tier").alias("fixed_tier"))
 
 
 def hotspots(events: DataFrame, minutes: int = 10, baseline: int = 1, factor: int = 5, floor: int = 10) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,51 +70,182 @@ def federated(vectors: DataFrame, query: list[float], as_of: str, k: int = 20, m
     return both.orderBy(F.desc("score"), "id").limit(k)
 
 
+def _matrix(column) -> np.ndarray:
+    """A column of equally long arrays as rows of doubles."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest center of each row by L2 (the first of equally near ones) and its distance."""
+    best = np.concatenate([(np.einsum("ij,ij->i", centers, centers) - 2 * x[i : i + 4096] @ centers.T).argmin(axis=1) for i in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
+    return best, np.sqrt(((x - centers[best]) ** 2).sum(axis=1))
+
+
+def _with(vectors: DataFrame, schema: str, make) -> DataFrame:
+    """vectors with columns made of `values` batch by batch; make gets the values' matrix and gives Arrow arrays."""
+    names = vectors.columns
+    at = names.index("values")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = make(_matrix(b.column(at)))
+            yield pa.RecordBatch.from_arrays([*b.columns, *made.values()], names=[*names, *made])
+
+    fields = T.StructType([*vectors.schema.fields, *T.StructType.fromDDL(schema).fields])
+    return vectors.mapInArrow(run, fields)
+
+
 def assign(vectors: DataFrame, centroids: list[tuple[int, list[float]]]) -> DataFrame:
-    """Nearest centroid of each vector by L2; the first wins ties. Centroids are a bounded model and go as a literal."""
-    table = F.array(*[F.struct(F.lit(i).alias("cluster"), literal(c).alias("center")) for i, c in centroids])
-    each = F.transform(table, lambda c: F.struct(euclidean(F.col("values"), c.center).alias("distance"), c.cluster.alias("cluster")))
-    best = F.array_min(each)
-    return vectors.select("*", best.cluster.alias("cluster"), best.distance.alias("distance"))
+    """Nearest centroid of each vector by L2; the first wins ties. The centroids are a model of fixed size (a matrix that
+    is broadcast), so the plan doesn't grow with them and no vector is shuffled."""
+    sent = vectors.sparkSession.sparkContext.broadcast((np.array([i for i, _ in centroids]), np.array([c for _, c in centroids], np.float64)))
+
+    def make(x: np.ndarray) -> dict:
+        numbers, centers = sent.value
+        best, distance = nearest(x, centers) if len(x) else (np.zeros(0, np.int64), np.zeros(0))
+        return {"cluster": pa.array(numbers[best], pa.int32()), "distance": pa.array(distance)}
+
+    return _with(vectors, "cluster int, distance double", make)
+
+
+def near_clusters(centroids: list[tuple[int, list[float]]], query: list[float], nprobe: int) -> list[int]:
+    """The nprobe (at least one) clusters nearest to the query, the first of equally near ones first."""
+    return [i for _, i in sorted((sum((x - y) ** 2 for x, y in zip(c, query, strict=True)), i) for i, c in centroids)[: max(1, nprobe)]]
 
 
 def probe(vectors: DataFrame, centroids: list[tuple[int, list[float]]], query: list[float], nprobe: int = 10, k: int = 20) -> DataFrame:
     """Exact search within the nprobe clusters nearest to the query (at least one)."""
-    near = sorted((sum((x - y) ** 2 for x, y in zip(c, query, strict=True)), i) for i, c in centroids)[: max(1, nprobe)]
-    listed = assign(vectors, centroids).where(F.col("cluster").isin([i for _, i in near]))
+    listed = assign(vectors, centroids).where(F.col("cluster").isin(near_clusters(centroids, query, nprobe)))
     return search(listed, query, k, "euclidean")
 
 
 def encode_pq(vectors: DataFrame, codebooks: list[list[list[float]]]) -> DataFrame:
     """codes: for each slice of the vector, the number of the nearest entry of its codebook; the first wins ties."""
     width = len(codebooks[0][0])
-    codes = []
-    for s, book in enumerate(codebooks):
-        part = F.slice("values", s * width + 1, width)
-        each = F.array(*[F.struct(euclidean(part, literal(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(book)])
-        codes.append(F.array_min(each).i)
-    return vectors.select("*", F.array(*codes).alias("codes"))
+    sent = vectors.sparkSession.sparkContext.broadcast([np.array(b, np.float64) for b in codebooks])
+
+    def make(x: np.ndarray) -> dict:
+        books = sent.value
+        if len(x) and x.shape[1] != width * len(books):
+            raise ValueError(f"{x.shape[1]} dimensions aren't {len(books)} slices of {width}")
+        codes = np.stack([nearest(x[:, s * width : (s + 1) * width], b)[0] for s, b in enumerate(books)], axis=1) if len(x) else np.zeros((0, len(books)), np.int64)
+        return {"codes": pa.array(list(codes.astype(np.int32)), pa.list_(pa.int32()))}
+
+    return _with(vectors, "codes array<int>", make)
+
+
+def lookup(codebooks: list[list[list[float]]], query: list[float]) -> list[list[float]]:
+    """Squared distances of the query's slices to all entries of their codebooks."""
+    width = len(codebooks[0][0])
+    return [[sum((x - y) ** 2 for x, y in zip(c, query[s * width : (s + 1) * width], strict=True)) for c in book] for s, book in enumerate(codebooks)]
 
 
 def adc(encoded: DataFrame, codebooks: list[list[list[float]]], query: list[float], k: int = 20) -> DataFrame:
     """Approximate search over codes: squared distances from one lookup table a query."""
-    width = len(codebooks[0][0])
-    table = F.array(*[F.array(*[F.lit(sum((x - y) ** 2 for x, y in zip(c, query[s * width : (s + 1) * width], strict=True))) for c in book]) for s, book in enumerate(codebooks)])
-    distance = F.aggregate(F.zip_with(table, "codes", lambda t, c: F.element_at(t, c + 1)), F.lit(0.0), lambda a, x: a + x)
-    return encoded.select("id", distance.alias("distance")).orderBy("distance", "id").limit(k)
+    sent = encoded.sparkSession.sparkContext.broadcast(np.array(lookup(codebooks, query)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = _matrix(b.column(1)).astype(np.int64)
+            total = sent.value[np.arange(codes.shape[1]), codes].sum(axis=1) if len(codes) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total)], names=["id", "distance"])
 
-def kmeans(vectors: DataFrame, centroids: list[list[float]], rounds: int = 20) -> list[list[float]]:
-    """Lloyd's rounds from given centers; an empty cluster keeps its center. Only sums a cluster reach the driver."""
+    kind = encoded.schema["id"].dataType.simpleString()
+    return encoded.select("id", "codes").mapInArrow(run, f"id {kind}, distance double").orderBy("distance", "id").limit(k)
+
+
+def train(vectors: DataFrame, books: list[np.ndarray], rounds: int = 20) -> list[np.ndarray]:
+    """Lloyd's rounds for the codebook of each slice at once, from given entries; an entry without vectors stays as it is.
+    A task adds up its vectors by entry; only one sum an entry reaches the driver."""
+    width = books[0].shape[1]
     for _ in range(rounds):
-        placed = assign(vectors, list(enumerate(centroids)))
-        means = placed.select("cluster", F.posexplode("values").alias("pos", "x")).groupBy("cluster", "pos").agg(F.avg("x").alias("x"))
-        new = {r.cluster: [x for _, x in sorted(r.m)] for r in means.groupBy("cluster").agg(F.collect_list(F.struct("pos", "x")).alias("m")).collect()}
-        moved = [new.get(i, c) for i, c in enumerate(centroids)]
-        if moved == centroids:
+        sent = vectors.sparkSession.sparkContext.broadcast(books)
+
+        def sums(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            books = sent.value
+            total = [np.zeros((len(b), width + 1)) for b in books]
+            for batch in batches:
+                x = _matrix(batch.column(0))
+                for s, b in enumerate(books if len(x) else []):
+                    part = x[:, s * width : (s + 1) * width]
+                    own, _ = nearest(part, b)
+                    np.add.at(total[s], own, np.column_stack([part, np.ones(len(part))]))
+            for s, t in enumerate(total):
+                at, pos = np.nonzero(t[:, -1:] * np.ones(width + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s)), pa.array(at), pa.array(pos), pa.array(t[at, pos])], names=["s", "c", "pos", "x"])
+
+        made = vectors.select("values").mapInArrow(sums, "s long, c long, pos long, x double").groupBy("s", "c", "pos").agg(F.sum("x").alias("x")).toArrow()
+        new = [np.zeros((len(b), width + 1)) for b in books]
+        for s, c, pos, x in zip(*(made[n].to_numpy() for n in ("s", "c", "pos", "x")), strict=True):
+            new[s][c, pos] = x
+        moved = [np.where(n[:, -1:] > 0, n[:, :-1] / np.maximum(n[:, -1:], 1), b) for n, b in zip(new, books, strict=True)]
+        if all(np.array_equal(a, b) for a, b in zip(moved, books, strict=True)):
             break
-        centroids = moved
-    return centroids
+        books = moved
+    return books
+
+
+def kmeans(vectors: DataFrame, centroids: list[list[float]], rounds: int = 20) -> list[list[float]]:
+    """Lloyd's rounds from given centers; an empty cluster keeps its center."""
+    return train(vectors, [np.array(centroids, np.float64)], rounds)[0].tolist()
+
+
+def draw(vectors: DataFrame, n: int, seed: int = 0) -> np.ndarray:
+    """n vectors drawn by a hash of their ids, alike for any partitioning: the start of a training."""
+    rows = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n).select("values").collect()
+    return np.array([r["values"] for r in rows], np.float64)
+
+
+class IvfPq:
+    """Inverted lists of product-quantized vectors, stored by cluster, so that a search reads the lists it probes."""
+
+    def __init__(self, spark: SparkSession, path: str, centroids: np.ndarray, books: list[np.ndarray]) -> None:
+        self.spark, self.path, self.centroids, self.books = spark, path, centroids, books
+
+    @classmethod
+    def build(cls, vectors: DataFrame, path: str, clusters: int = 1024, slices: int = 64, entries: int = 256, rounds: int = 20) -> IvfPq:
+        """Train on all vectors and store them with cluster and codes. The dimension has to be a multiple of slices."""
+        first = draw(vectors, max(clusters, entries))
+        if not len(first):
+            raise ValueError("there are no vectors to train on")
+        if first.shape[1] % slices:
+            raise ValueError(f"{first.shape[1]} dimensions aren't {slices} equal slices")
+        width = first.shape[1] // slices
+        centroids = train(vectors, [first[:clusters]], rounds)[0]
+        books = train(vectors, [first[:entries, s * width : (s + 1) * width] for s in range(slices)], rounds)
+        index = cls(vectors.sparkSession, path, centroids, books)
+        index.add(vectors)
+        return index
+
+    def add(self, vectors: DataFrame) -> None:
+        """Store vectors under the trained centers; one shuffle by cluster keeps a list in few files, and large lists are split."""
+        numbered = [(i, c) for i, c in enumerate(self.centroids.tolist())]
+        placed = encode_pq(assign(vectors, numbered).drop("distance"), [b.tolist() for b in self.books])
+        salted = placed.repartition("cluster", F.pmod(F.xxhash64("id"), F.lit(8)))
+        salted.write.mode("append").partitionBy("cluster").parquet(self.path)
+
+    def lists(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def sizes(self) -> DataFrame:
+        return self.lists().groupBy("cluster").agg(F.count("*").alias("n"))
+
+    def search(self, query: list[float], k: int = 20, nprobe: int = 10, filters: dict[str, str] | None = None, rerank: bool = False) -> DataFrame:
+        """id, score (1 / (1 + distance)) of about the k nearest: filter, then distances from the lookup table over the
+        probed lists; where they hold fewer than k rows, the other lists are scanned exactly. rerank gives the probed
+        rows their exact distances."""
+        probed = near_clusters(list(enumerate(self.centroids.tolist())), query, min(nprobe, len(self.centroids)))
+        rows = self.lists().where(matches(filters or {})) if filters else self.lists()
+        inside, outside = rows.where(F.col("cluster").isin(probed)), rows.where(~F.col("cluster").isin(probed))
+        exact = lambda df: df.select("id", euclidean(F.col("values"), literal(query)).alias("distance"))
+        if rerank:
+            found = exact(inside).orderBy("distance", "id").limit(k)
+        else:
+            found = adc(inside, [b.tolist() for b in self.books], query, k).select("id", F.sqrt("distance").alias("distance"))
+        if found.count() < k:
+            found = found.unionByName(exact(outside))
+        return found.select("id", (1 / (1 + F.col("distance"))).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def embed(text: Column, dim: int = 8) -> Column:
@@ -124,3 +261,53 @@ def embed(text: Column, dim: int = 8) -> Column:
         out.append((x % 1000) / 1000.0)
         a, c = a * 1103515245 % m, (c * 1103515245 + 12345) % m
     return F.array(*out)
+
+
+def placeholder_embedding(text: Column, dim: int = 8) -> Column:
+    """The hash-based stand-in for a model: dimension i hashes the text from seed i, v = (h % 10000 - 5000) / 10000, and all
+    are divided by the sum of their squares."""
+    m = 1 << 32
+    step = lambda s, c: F.struct(F.pmod(s.h * 31 + F.ascii(c) + s.at, F.lit(m)).alias("h"), (s.at + F.octet_length(c)).alias("at"), F.pmod(s.p * 31, F.lit(m)).alias("p"))
+    start = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("at"), F.lit(1).cast("long").alias("p"))
+    ends = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, step)
+    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.pmod(i * ends.p + ends.h, F.lit(m)) % 10000 - 5000) / 10000.0)  # seed i adds i * 31**n
+    square = F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x)
+    return F.when(square > 0, F.transform(raw, lambda x: x / square)).otherwise(raw)
+
+
+def provider(name: str, call=None):
+    """The embedding of a provider as a function of a text column: mock (also ""), onnx, or api and openai, which need a call
+    (a function of texts that gives vectors) and run it on Arrow batches."""
+    if name in ("", "mock"):
+        return embed
+    if name == "onnx":
+        return placeholder_embedding
+    if name in ("api", "openai"):
+        if call is None:
+            raise ValueError(f"{name} needs a call")
+        return lambda text, dim=8: F.pandas_udf(lambda s: s.map(dict(zip(s.unique(), call(list(s.unique())), strict=True))), T.ArrayType(T.DoubleType()))(text)
+    raise ValueError(f"unsupported embedding provider: {name}")
+
+
+@F.pandas_udf(T.BinaryType())
+def encode_vector(values: pd.Series) -> pd.Series:
+    """Little-endian: the dimension as 32 bits, then the values as 32-bit floats."""
+    return values.map(lambda v: None if v is None else np.uint32(len(v)).astype("<u4").tobytes() + np.asarray(v, "<f4").tobytes())
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def decode_vector(data: pd.Series) -> pd.Series:
+    """Null where the length isn't that of the dimension."""
+
+    def one(b: bytes | None):
+        if b is None or len(b) < 4 or len(b) != 4 + 4 * int(np.frombuffer(b[:4], "<u4")[0]):
+            return None
+        return np.frombuffer(b[4:], "<f4").astype(np.float64)
+
+    return data.map(one)
+
+
+def newest_vectors(vectors: DataFrame) -> DataFrame:
+    """One vector for each object: that made last."""
+    row = F.struct(*[c for c in vectors.columns if c not in ("bucket", "object_key")])
+    return vectors.groupBy("bucket", "object_key").agg(F.max_by(row, F.struct("created_at", "id")).alias("v")).select("bucket", "object_key", "v.*")
