@@ -1,8 +1,8 @@
 """Substring dedup over a log-structured fingerprint index.
 
 A window is `size` consecutive words. Every window is represented by a fingerprint: the smallest hash among
-its runs of `gram` words, so neighbouring windows share one and an index holds about a fifth as many
-fingerprints as there are windows. The index is a log of batches. Each has
+its runs of `gram` words (mixed once more, since minima crowd at the low end), so neighbouring windows share one and an
+index holds about a fifth as many fingerprints as there are windows. The index is a log of batches. Each has
 
 * units: about 4 MB of documents in doc_id order (the texts, for verification), and
 * a run: the units' distinct fingerprints, sorted, immutable, dealt into buckets by hash range.
@@ -13,8 +13,10 @@ hashes of the word sequence (128 bits), again bucket by bucket; the first unit i
 keeps it. Answers travel as one bit for each fingerprint or window of a unit, not as rows. When more than
 `fanout` runs stand in the log, they are compacted into one.
 
-No task sees more than its unit or its bucket, a passage counts once a unit however often it is copied, and
-each phase is a table in the shared folder, so lost executors cost their tasks only.
+A task sends one row a bucket, with the entries of all its units (in parts of PART_ENTRIES entries), so a passage that every
+unit has costs its bucket one entry a unit and no more rows than there are tasks. Every bucket has its own task: buckets
+are told apart by partition number, not by hash, and none meets another by chance. Each phase is a table in the shared
+folder, so lost executors cost their tasks only.
 
 Batches have to come in ascending doc_id order. Defined cases: null or empty text has no words; null doc_ids
 stand before all others; rows with one doc_id are one document as far as "smaller doc_id" goes; an empty
@@ -23,7 +25,6 @@ batch gives no rows; columns besides doc_id and text are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +39,11 @@ from .common import raw, remove, scratch, session, shared_dir, slices, staged, t
 U64 = np.uint64
 UNIT_BYTES = 4 << 20
 RUN_ROW = 1 << 20
+#: Entries of units that a task gathers before it sends them.
+PART_ENTRIES = 4 << 20
 _UNITS = "unit long, n_rows int, doc_ids binary, nulls binary, offsets binary, text binary"
 _RUN = "bucket int, units binary, hashes binary, owner binary"
-_PROOF = "bucket int, unit long, digests binary"
+_PROOF = "bucket int, units binary, sizes binary, digests binary"
 _BITS = "unit long, bucket int, bits binary"
 
 
@@ -55,6 +58,9 @@ def _row(schema: str, **values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(values[c.split()[0]], kinds[c.split()[1]]) for c in schema.split(", ")], names=[c.split()[0] for c in schema.split(", ")])
 
 
+_SPREAD = U64(0xA0761D6478BD642F)
+
+
 class Unit:
     """Documents of a unit and their windows."""
 
@@ -82,7 +88,7 @@ class Unit:
         least = g[: len(g) - n + 1].copy()
         for j in range(1, n):
             np.minimum(least, g[j : len(g) - n + 1 + j], out=least)
-        return np.unique(least[self.at], return_inverse=True)
+        return np.unique(words.mix(least[self.at] ^ _SPREAD), return_inverse=True)
 
     def digests(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128-bit digests of the windows numbered `which`, in two halves."""
@@ -116,16 +122,11 @@ def _mask(answers: list[dict] | None, edges: np.ndarray) -> np.ndarray:
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of one bucket after another, from rows sorted by bucket."""
-    held, bucket = [], None
+    """Rows of each bucket of a partition (as dealt by number, one has its own; fewer partitions may hold several)."""
+    held: dict[int, list[dict]] = {}
     for row in _unit_rows(batches):
-        if row["bucket"] != bucket and held:
-            yield bucket, held
-            held = []
-        bucket = row["bucket"]
-        held.append(row)
-    if held:
-        yield bucket, held
+        held.setdefault(row["bucket"], []).append(row)
+    yield from sorted(held.items())
 
 
 class SubstringLog:
@@ -180,13 +181,24 @@ class SubstringLog:
     def _run(self, units: DataFrame) -> DataFrame:
         size, gram, bits = self.size, self.gram, self.bits
 
+        def rows(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+            h, owner = np.concatenate([f for _, f in held]), np.repeat(np.arange(len(held), dtype="<u4"), [len(f) for _, f in held])
+            order = np.lexsort((owner, h))
+            h, owner = h[order], owner[order]
+            e, own = _bucket_edges(h, bits), np.array([u for u, _ in held], "<i8").tobytes()
+            full = np.flatnonzero(e[1:] > e[:-1])
+            return _row(_RUN, bucket=full.tolist(), units=[own] * len(full), hashes=[h[e[k] : e[k + 1]].tobytes() for k in full], owner=[owner[e[k] : e[k + 1]].tobytes() for k in full])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size_held = [], 0
             for row in _unit_rows(batches):
-                f, _ = Unit(row, size, gram).fingerprints()
-                e = _bucket_edges(f, bits)
-                full = np.flatnonzero(e[1:] > e[:-1])
-                own = np.array([row["unit"]], "<i8").tobytes()
-                yield _row(_RUN, bucket=full.tolist(), units=[own] * len(full), hashes=[f[e[k] : e[k + 1]].tobytes() for k in full], owner=[b""] * len(full))
+                held.append((row["unit"], Unit(row, size, gram).fingerprints()[0]))
+                size_held += len(held[-1][1])
+                if size_held > PART_ENTRIES:
+                    yield rows(held)
+                    held, size_held = [], 0
+            if held:
+                yield rows(held)
 
         return staged(units.mapInArrow(run, _RUN), self._table("run"))
 
@@ -212,36 +224,54 @@ class SubstringLog:
                 parts = [p for p in parts if p[1].any()]
                 yield _row(_BITS, unit=[p[0] for p in parts], bucket=[bucket] * len(parts), bits=[np.packbits(p[1]).tobytes() for p in parts])
 
-        dealt = runs.repartition(1 << self.bits, "bucket").sortWithinPartitions("bucket")
-        return staged(dealt.mapInArrow(merge, _BITS), self._table("shared"))
+        return staged(self._dealt(runs).mapInArrow(merge, _BITS), self._table("shared"))
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(1 << self.bits, F.col("bucket"))
 
     def _first(self, units: DataFrame, shared: DataFrame) -> DataFrame:
         """For each unit and bucket, which of its windows over shared fingerprints an earlier unit has."""
         size, gram, bits = self.size, self.gram, self.bits
 
+        def rows(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            edges = [_bucket_edges(a, bits) for _, a, _ in held]
+            out: dict[str, list] = {"bucket": [], "units": [], "sizes": [], "digests": []}
+            for k in range(1 << bits):
+                parts = [(u, a[e[k] : e[k + 1]], b[e[k] : e[k + 1]]) for (u, a, b), e in zip(held, edges, strict=True) if e[k] < e[k + 1]]
+                if parts:
+                    out["bucket"].append(k)
+                    out["units"].append(np.array([p[0] for p in parts], "<i8").tobytes())
+                    out["sizes"].append(np.array([len(p[1]) for p in parts], "<i8").tobytes())
+                    out["digests"].append(np.stack([np.concatenate([p[i] for p in parts]) for i in (1, 2)]).tobytes())
+            return _row(_PROOF, **out)
+
         def proofs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size_held = [], 0
             for row in _unit_rows(batches):
                 _, a, b, one, _ = _selected(Unit(row, size, gram), row["shared"], bits)
-                a, b = a[one], b[one]
-                e = _bucket_edges(a, bits)
-                full = np.flatnonzero(e[1:] > e[:-1])
-                yield _row(_PROOF, bucket=full.tolist(), unit=[row["unit"]] * len(full), digests=[np.stack([a[e[k] : e[k + 1]], b[e[k] : e[k + 1]]]).tobytes() for k in full])
+                held.append((row["unit"], a[one], b[one]))
+                size_held += len(one)
+                if size_held > PART_ENTRIES:
+                    yield rows(held)
+                    held, size_held = [], 0
+            if held:
+                yield rows(held)
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for bucket, rows in _by_bucket(batches):
-                rows.sort(key=lambda r: r["unit"])
-                d = [np.frombuffer(r["digests"], "<u8").reshape(2, -1) for r in rows]
-                a, b = np.concatenate([x[0] for x in d]), np.concatenate([x[1] for x in d])
-                one, _ = _distinct(a, b)  # lexsort is stable: the first in log order
-                later = np.ones(len(a), bool)
-                later[one] = False
-                cut = np.concatenate([[0], np.cumsum([x.shape[1] for x in d])])
-                out = [(r["unit"], later[i:j]) for r, i, j in zip(rows, cut[:-1], cut[1:], strict=True) if later[i:j].any()]
+            for bucket, made in _by_bucket(batches):
+                d = [np.frombuffer(r["digests"], "<u8").reshape(2, -1) for r in made]
+                units, sizes = (np.concatenate([np.frombuffer(r[c], "<i8") for r in made]) for c in ("units", "sizes"))
+                a, b, u = np.concatenate([x[0] for x in d]), np.concatenate([x[1] for x in d]), np.repeat(units, sizes)
+                order = np.lexsort((u, b, a))
+                a, b = a[order], b[order]
+                later = np.empty(len(a), bool)
+                later[order] = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])  # the first in log order keeps it
+                cut = np.concatenate([[0], np.cumsum(sizes)])
+                out = [(int(x), later[i:j]) for x, i, j in zip(units, cut[:-1], cut[1:], strict=True) if later[i:j].any()]
                 yield _row(_BITS, unit=[x[0] for x in out], bucket=[bucket] * len(out), bits=[np.packbits(x[1]).tobytes() for x in out])
 
         made = units.join(_gathered(shared, "shared"), "unit").mapInArrow(proofs, _PROOF)
-        dealt = made.repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
-        return staged(dealt.mapInArrow(merge, _BITS), self._table("later"))
+        return staged(self._dealt(made).mapInArrow(merge, _BITS), self._table("later"))
 
     def append(self, docs: DataFrame, last: bool = False) -> DataFrame:
         """Add a batch; returns doc_id, text, n_words, n_removed, kept (words left, joined by one space) of its rows.
@@ -287,8 +317,7 @@ class SubstringLog:
                     names, owner = np.unique(u[i : i + RUN_ROW], return_inverse=True)
                     yield _row(_RUN, bucket=[bucket], units=[names.astype("<i8").tobytes()], hashes=[h[i : i + RUN_ROW].tobytes()], owner=[owner.astype("<u4").tobytes()])
 
-        dealt = runs.repartition(1 << self.bits, "bucket").sortWithinPartitions("bucket")
-        merged = staged(dealt.mapInArrow(merge, _RUN), self._table("run"))
+        merged = staged(self._dealt(runs).mapInArrow(merge, _RUN), self._table("run"))
         self._remove_runs()
         self.runs = [merged]
 
@@ -371,12 +400,14 @@ def dedup(docs: DataFrame, size: int = 50, gram: int = 5, batches: int = 1) -> D
 def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
     """docs without the words of repeated passages; a text that loses words has its others joined by one space.
 
-    Rows with a null doc_id, and all but one row of a repeated doc_id, keep their text.
+    Rows with a null doc_id keep their text. Rows that share a doc_id are one document for "smaller doc_id", and each
+    loses what its own text repeats: results are joined by doc_id and the text's digest.
     """
+    key = [F.col("doc_id").cast("long").alias("__id"), F.md5(F.col("text").cast("string").cast("binary")).alias("__text")]
     with scratch(docs.sparkSession):
-        found = dedup(docs, size).where("n_removed > 0 and doc_id is not null").select("doc_id", F.col("kept").alias("__kept"))
-        changed = staged(found.dropDuplicates(["doc_id"]), shared_dir(docs.sparkSession, "passages-out", keep=True))
-    joined = docs.join(changed, "doc_id", "left").withColumn("text", F.coalesce("__kept", "text"))
+        found = dedup(docs, size).where("n_removed > 0 and doc_id is not null").select(*key, F.col("kept").alias("__kept"))
+        changed = staged(found.dropDuplicates(["__id", "__text"]), shared_dir(docs.sparkSession, "passages-out", keep=True))
+    joined = docs.select("*", *key).join(changed, ["__id", "__text"], "left").withColumn("text", F.coalesce("__kept", "text"))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return joined.select(*docs.columns)
