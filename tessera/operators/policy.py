@@ -197,3 +197,41 @@ def parse_policies(documents: DataFrame) -> DataFrame:
     principals = F.when(who.startswith("{"), F.concat(users, others)).when(who.isNotNull(), _texts(who))
     conditions = F.flatten(F.transform(F.map_entries(F.from_json(get("condition"), "map<string,map<string,string>>")), lambda o: F.transform(F.map_entries(o.value), lambda c: F.struct(o.key.alias("op"), c.key.alias("key"), _texts(c.value).alias("values")))))
     return rows.select("policy", get("sid").alias("sid"), (F.col("pos") + 1).alias("ord"), get("effect").alias("effect"), _texts(get("action")).alias("actions"), _texts(get("notaction")).alias("not_actions"), _texts(get("resource")).alias("resources"), _texts(get("notresource")).alias("not_resources"), principals.alias("principals"), conditions.alias("conditions"))
+
+
+#: Seconds that session and federation tokens last at most.
+SESSION_CAP, FEDERATION_CAP = 129_600, 43_200
+
+
+def role_duration(requested: Column, most: Column) -> Column:
+    """Seconds of an assumed role: what was asked for if it is positive and at most the role's, else the role's."""
+    return F.when((requested > 0) & (requested <= most), requested).otherwise(most)
+
+
+def capped(requested: Column, most: int) -> Column:
+    return F.least(requested, F.lit(most))
+
+
+def origin_allowed(origin: Column, allowed: Column) -> Column:
+    """Whether a list of origins has a * or the origin."""
+    return F.array_contains(allowed, "*") | F.array_contains(allowed, origin)
+
+
+def is_admin_action(action: Column) -> Column:
+    return action.rlike("^(iam|sts|admin):")
+
+
+def is_vector_action(action: Column) -> Column:
+    return action.startswith("vector:")
+
+
+#: Default requests a second and burst of each kind of call.
+DEFAULT_LIMITS = {"PUT": (100, 20), "GET": (1000, 100), "DELETE": (500, 50), "LIST": (100, 20), "HEAD": (2000, 200), "CREATE_BUCKET": (10, 5)}
+
+
+def limit_of(api: Column) -> Column:
+    """struct(rate, burst) of a kind of call; null for an unknown one."""
+    out = F.lit(None).cast("struct<rate: int, burst: int>")
+    for name, (rate, burst) in DEFAULT_LIMITS.items():
+        out = F.when(api == name, F.struct(F.lit(rate).alias("rate"), F.lit(burst).alias("burst"))).otherwise(out)
+    return out

@@ -254,13 +254,30 @@ def embed(text: Column, dim: int = 8) -> Column:
     step = lambda s, c: F.struct(F.pmod(s.h * 31 + F.ascii(c) + s.at, F.lit(m)).alias("h"), (s.at + F.octet_length(c)).alias("at"))
     start = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("at"))
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    h = F.aggregate(chars, start, step, lambda s: s.h)
-    out, a, c = [], 1, 0
+    multipliers, a, c = [], 1, 0
     for _ in range(dim):
-        x = F.pmod(F.pmod(F.floor(h / 65536) * a, F.lit(65536)) * 65536 + (h % 65536) * a + c, F.lit(m))
-        out.append((x % 1000) / 1000.0)
+        multipliers.append((a, c))
         a, c = a * 1103515245 % m, (c * 1103515245 + 12345) % m
-    return F.array(*out)
+    one = lambda h, a, c: (F.pmod(F.pmod(F.floor(h / 65536) * a, F.lit(65536)) * 65536 + (h % 65536) * a + c, F.lit(m)) % 1000) / 1000.0
+    return once(F.aggregate(chars, start, step, lambda s: s.h), lambda h: F.array(*[one(h, a, c) for a, c in multipliers]))
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def embed_one(text: str, dim: int = 8) -> list[float]:
+    """The same embedding of one text, for a query."""
+    h, at = 0, 0
+    for c in text:
+        h = (h * 31 + ord(c) + at) % (1 << 32)
+        at += len(c.encode())
+    out = []
+    for _ in range(dim):
+        out.append((h % 1000) / 1000.0)
+        h = (h * 1103515245 + 12345) % (1 << 32)
+    return out
 
 
 def placeholder_embedding(text: Column, dim: int = 8) -> Column:
@@ -270,9 +287,10 @@ def placeholder_embedding(text: Column, dim: int = 8) -> Column:
     step = lambda s, c: F.struct(F.pmod(s.h * 31 + F.ascii(c) + s.at, F.lit(m)).alias("h"), (s.at + F.octet_length(c)).alias("at"), F.pmod(s.p * 31, F.lit(m)).alias("p"))
     start = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("at"), F.lit(1).cast("long").alias("p"))
     ends = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, step)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.pmod(i * ends.p + ends.h, F.lit(m)) % 10000 - 5000) / 10000.0)  # seed i adds i * 31**n
-    square = F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x)
-    return F.when(square > 0, F.transform(raw, lambda x: x / square)).otherwise(raw)
+    seeds = F.sequence(F.lit(0), F.lit(dim - 1))
+    raw = once(ends, lambda e: F.transform(seeds, lambda i: (F.pmod(i * e.p + e.h, F.lit(m)) % 10000 - 5000) / 10000.0))  # seed i adds i * 31**n
+    total = lambda r: F.aggregate(r, F.lit(0.0), lambda s, x: s + x * x)
+    return once(raw, lambda r: once(F.struct(r.alias("r"), total(r).alias("t")), lambda s: F.when(s.t > 0, F.transform(s.r, lambda x: x / s.t)).otherwise(s.r)))
 
 
 def provider(name: str, call=None):

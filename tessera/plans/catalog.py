@@ -12,85 +12,37 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import ADAPTERS, AS_OF, DUCK, table
 
 #: name -> (Spark's, DuckDB's).
-DIALECT = {"@rlike(": ("rlike(", "regexp_matches("), "@all(": ("sha2(", "concat("), "@len(": ("char_length(", "length("), "@split(": ("split_part(", "split_part("), "@epoch(": ("unix_seconds(CAST(", "epoch(CAST("), "@contains(": ("array_contains(", "list_contains("), "@values(": ("array(", "list_value("), "@sorted(": ("array_sort(collect_list(", "list_sort(list("), "@regex(": ("regexp_extract(", "regexp_extract("), "@bytes(": ("binary(", "encode("), "@first(": ("substring(", "array_slice(")}
-
-STATEMENTS = """(SELECT * FROM (VALUES
- ('s1', 1, 'Allow', 's3:view', 'k/1*'), ('s2', 2, 'Allow', 's3:*', 'k/2?'), ('s3', 3, 'Deny', 's3:purchase', 'k/2*'), ('s4', 4, 'Allow', '*', 'k/7'), ('s5', 5, 'Deny', 's3:error', '*'))
- AS t(sid, ord, effect, action, resource))"""
+DIALECT = {"@rlike(": ("rlike(", "regexp_matches("), "@bytes(": ("binary(", "encode("), "@first(": ("substring(", "array_slice(")}
 
 SQL = {
     # listing and lookups
     "object_lookup": "SELECT bucket, key, size FROM {objects} WHERE bucket = 'src0' AND doc_id = (SELECT min(doc_id) FROM {objects} WHERE bucket = 'src0')",
-    "list_prefix": "SELECT bucket, key, size FROM {objects} WHERE bucket = 'src1' AND key LIKE 'en/%' ORDER BY key LIMIT 20",
-    "list_page_v2": "SELECT key, size, rn = 11 AS truncated FROM (SELECT key, size, row_number() OVER (ORDER BY key) AS rn FROM (SELECT key, size FROM {objects} WHERE bucket = 'src2' AND key > 'en/2' ORDER BY key LIMIT 11) p) q WHERE rn <= 11",
     "list_buckets": "SELECT bucket, count(*) AS object_count, CAST(sum(size) AS BIGINT) AS total_size FROM {objects} GROUP BY bucket",
     "bucket_lookup": "SELECT DISTINCT bucket FROM {objects} WHERE bucket = 'src5'",
     "head_object": "SELECT bucket, key, size, content_type, storage_tier FROM {objects} WHERE doc_id = 17",
     "object_exists": "SELECT k.key, EXISTS (SELECT 1 FROM {objects} o WHERE o.key = k.key) AS found FROM (VALUES ('en/1'), ('en/999999999')) AS k(key)",
-    "list_parts_page": "SELECT upload_id, part_number, size FROM {parts} WHERE upload_id <= 50 AND part_number > 2",
-    "list_parts_text_order": "SELECT upload_id, part_number, row_number() OVER (PARTITION BY upload_id ORDER BY CAST(part_number AS VARCHAR(20))) AS place FROM {parts} WHERE upload_id <= 20",
-    "list_uploads": "SELECT o_orderkey AS upload_id, o_orderpriority AS bucket FROM {orders} WHERE o_orderstatus = 'O' AND o_orderdate + INTERVAL '24' HOUR > TIMESTAMP '1997-06-01 00:00:00'",
     "expired_uploads": "SELECT o_orderkey AS upload_id FROM {orders} WHERE o_orderdate + INTERVAL '24' HOUR < TIMESTAMP '1998-01-01 00:00:00'",
-    "list_keys_total": "SELECT key, size, count(*) OVER () AS total FROM {objects} WHERE bucket = 'src4' AND key LIKE 'fr/%'",
     "tail_history": "SELECT event_id, user_id, rn FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY access_time DESC, event_id DESC) AS rn FROM {access_events}) t WHERE rn <= 5",
-    "executions_filtered": "SELECT event_id, object_key FROM {access_events} WHERE ('' = '' OR access_type = '') AND ('7' = '' OR object_key = '7')",
-    "user_by_access_key": "SELECT u.name FROM (VALUES ('ann', 'AK1', 'Active'), ('bob', 'AK2', 'Inactive'), ('cy', 'AK3', 'Active')) AS u(name, access_key, status) WHERE u.access_key = 'AK3' AND u.status = 'Active'",
-    "bucket_location": "SELECT r_name AS region, CASE WHEN r_name = 'AMERICA' THEN '' ELSE r_name END AS location FROM {region}",
-    "conditional_read": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 304 WHEN doc_id % 5 = 1 THEN 412 WHEN doc_id % 3 = 0 THEN 304 ELSE 200 END AS status FROM {objects}",
     "readable_search": "SELECT v.id FROM {embeddings_ids} v WHERE EXISTS (SELECT 1 FROM {objects} o WHERE o.doc_id = v.id AND o.bucket IN ('src1', 'src2'))",
     # mutations
     "upsert_latest": "SELECT object_key, event_id, access_type FROM (SELECT object_key, event_id, access_type, row_number() OVER (PARTITION BY object_key ORDER BY access_time DESC, event_id DESC) AS rn FROM {access_events}) t WHERE rn = 1",
     "delete_objects": "SELECT bucket, count(*) AS object_count, greatest(CAST(0 AS BIGINT), CAST(sum(size) AS BIGINT)) AS total_size FROM {objects} o WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = o.doc_id AND l.quality = 0) GROUP BY bucket",
-    "delete_marker": "SELECT event_id, CASE WHEN access_type <> 'error' THEN 'ignored' WHEN value > 50 THEN 'locked' ELSE 'marker' END AS outcome FROM (SELECT event_id, event_type AS access_type, value FROM {events}) e",
-    "delete_bucket_cascade": "SELECT bucket, key FROM {objects} WHERE bucket NOT IN ('src1', 'src7')",
     "running_quota": "SELECT doc_id, bucket, running, running <= 20000 AS within FROM (SELECT doc_id, bucket, CAST(sum(size) OVER (PARTITION BY bucket ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running FROM {objects}) t",
-    "wal_batches": "SELECT o_orderkey, CAST(floor((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) / 100.0) AS BIGINT) AS batch FROM {orders}",
     "tier_migrate": "SELECT storage_tier, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM (SELECT CASE WHEN storage_tier = 0 AND size < 500 THEN 2 ELSE storage_tier END AS storage_tier, size FROM {objects}) t GROUP BY storage_tier",
     "version_latest": "SELECT bucket, max(doc_id) AS latest FROM {objects} GROUP BY bucket",
     "vector_delete": "SELECT e.id FROM {embeddings_ids} e WHERE NOT EXISTS (SELECT 1 FROM {objects} o WHERE o.doc_id = e.id AND o.bucket = 'src0')",
-    "audit_json_fields": "SELECT event_id, access_type, user_id FROM {access_events} WHERE access_type = 'error'",
     # aggregates
     "store_stats": "SELECT count(*) AS objects, count(DISTINCT bucket) AS buckets, CAST(sum(size) AS BIGINT) AS total_size FROM {objects}",
     "tier_sizes": "SELECT storage_tier, CAST(sum(size) AS BIGINT) AS size FROM {objects} GROUP BY storage_tier",
-    "task_stats": "SELECT l_linestatus AS task, count(*) AS runs, count(CASE WHEN l_returnflag <> 'R' THEN 1 END) AS ok, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS failed, round(count(CASE WHEN l_returnflag <> 'R' THEN 1 END) * 1.0e0 / count(*), 6) AS success_rate, round(avg(l_quantity), 6) AS avg_duration FROM {lineitem} GROUP BY l_linestatus",
-    "task_status_last": "SELECT task, shipped FROM (SELECT l_returnflag AS task, l_shipdate AS shipped, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS rn FROM {lineitem}) t WHERE rn = 1",
     "sync_status": "SELECT o_orderpriority AS bucket, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS pending, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS failed FROM {orders} GROUP BY o_orderpriority",
     "replication_totals": "SELECT o_orderstatus AS status, count(*) AS n FROM {orders} GROUP BY o_orderstatus",
     "cache_hit_rate": "SELECT user_id, CASE WHEN count(*) = 0 THEN 0.0e0 ELSE round(count(CASE WHEN access_type = 'view' THEN 1 END) * 1.0e0 / count(*), 6) END AS hit_rate FROM {access_events} GROUP BY user_id",
     "limiter_counters": "SELECT access_type AS limit_type, count(*) AS n FROM {access_events} GROUP BY access_type",
-    "backup_retention": "SELECT event_id FROM {access_events} WHERE floor(date_diff_hours / 24.0) <= 7",
     "keys_per_bucket": "SELECT bucket, count(*) AS keys FROM {objects} GROUP BY bucket",
-    "scrub_tiers": "SELECT storage_tier, count(*) AS checked, count(CASE WHEN size % 7 = 0 THEN 1 END) AS corrupt FROM {objects} WHERE storage_tier IN (0, 2) GROUP BY storage_tier",
     "multipart_complete": "SELECT upload_id, CAST(sum(size) AS BIGINT) AS size, count(*) AS parts FROM {parts} GROUP BY upload_id",
-    "ivf_cluster_sizes": "SELECT label AS cluster, count(*) AS n FROM {embeddings} GROUP BY label",
-    "retry_backoff": "SELECT a.attempt, CAST(least(1.0e0 * power(2.0e0, a.attempt), 30.0e0) AS DOUBLE) AS delay FROM (VALUES (0), (1), (2), (3), (4), (5), (6)) AS a(attempt)",
     "concurrency_peak": "SELECT user_id, max(open_now) AS peak FROM (SELECT user_id, CAST(sum(d) OVER (PARTITION BY user_id ORDER BY moment, d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS open_now FROM (SELECT user_id, access_time AS moment, 1 AS d FROM {access_events} UNION ALL SELECT user_id, access_time + INTERVAL '6' HOUR AS moment, -1 AS d FROM {access_events}) e) t GROUP BY user_id",
-    "replication_attempts": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 4 >= 3 THEN 'failed' WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'completed' END AS status FROM {orders}",
-    "replication_prefix": "SELECT r.rule, count(*) AS n FROM {objects} o JOIN (VALUES ('r1', 'src1', 'en/'), ('r2', 'src2', ''), ('r3', 'src3', 'de/')) AS r(rule, bucket, prefix) ON o.bucket = r.bucket AND o.key LIKE concat(r.prefix, '%') GROUP BY r.rule",
-    "conflict_last_write": "SELECT object_key, event_id FROM (SELECT object_key, event_id, row_number() OVER (PARTITION BY object_key ORDER BY access_time DESC, event_id DESC) AS rn FROM {access_events} WHERE access_type IN ('view', 'click')) t WHERE rn = 1",
-    # policies
-    "policy_decisions": f"SELECT event_id, CASE WHEN bool_or(effect = 'Deny') THEN 'ExplicitDeny' WHEN bool_or(effect = 'Allow') THEN 'Allow' ELSE 'ImplicitDeny' END AS decision FROM (SELECT r.event_id, s.effect FROM (SELECT event_id, concat('s3:', access_type) AS action, concat('k/', object_key) AS resource FROM {{access_events}}) r LEFT JOIN {STATEMENTS} s ON (s.action = '*' OR lower(s.action) = lower(r.action) OR (s.action LIKE '%:*' AND split_part(r.action, ':', 1) = split_part(s.action, ':', 1))) AND @rlike(r.resource, concat('^', replace(replace(s.resource, '?', '.'), '*', '.*'), '$'))) t GROUP BY event_id",
-    "policy_matched_by": f"SELECT event_id, min(ord) AS matched FROM (SELECT r.event_id, s.ord FROM (SELECT event_id, concat('s3:', access_type) AS action FROM {{access_events}}) r JOIN {STATEMENTS} s ON s.action = r.action) t GROUP BY event_id",
-    "opa_access": "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN true WHEN c_acctbal > 5000 AND c_nationkey % 2 = 0 THEN true ELSE false END AS allow FROM {customer}",
-    "opa_encryption": "SELECT doc_id, CASE WHEN bucket IN ('src1', 'src2') THEN true WHEN bucket IN ('src3', 'src4') THEN false WHEN size > 1048576 THEN true ELSE false END AS required FROM {objects}",
-    "opa_vector": "SELECT doc_id, (size <= 1048576 AND content_type LIKE 'text/%' AND key NOT LIKE '%secret%') AS auto_index FROM {objects}",
-    "legacy_permissions": "SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN true WHEN c_mktsegment IN ('MACHINERY', 'BUILDING') THEN true ELSE false END AS allowed FROM {customer}",
-    "role_duration": "SELECT d.requested, CASE WHEN d.requested > 0 AND d.requested <= 3600 THEN d.requested ELSE 3600 END AS granted, least(d.requested, 129600) AS session_token, least(d.requested, 43200) AS federation FROM (VALUES (0), (900), (3600), (7200), (200000)) AS d(requested)",
-    "admin_roles": "SELECT r.role, r.can_read, r.can_write, r.can_admin FROM (VALUES ('admin', true, true, true), ('operator', true, true, false), ('viewer', true, false, false)) AS r(role, can_read, can_write, can_admin)",
-    "group_members": "SELECT n_regionkey AS grp, n_nationkey AS member FROM {nation} WHERE n_nationkey NOT IN (3, 5)",
     "expired_credentials": "SELECT count(*) AS expired FROM {orders} WHERE o_orderdate < TIMESTAMP '1995-06-01 00:00:00'",
-    "token_validity": "SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '1995-01-01 00:00:00' THEN 'expired' WHEN o_orderstatus = 'P' THEN 'type' WHEN o_orderkey % 11 = 0 THEN 'revoked' ELSE 'valid' END AS outcome FROM {orders}",
-    "cors_origins": "SELECT o.origin, (r.allowed = '*' OR r.allowed = o.origin) AS allowed FROM (VALUES ('https://a.example'), ('https://b.example')) AS o(origin) CROSS JOIN (VALUES ('https://a.example')) AS r(allowed)",
-    "admin_actions": "SELECT a.action, @rlike(a.action, '^(iam|sts|admin):') AS is_admin, @rlike(a.action, '^vector:') AS is_vector FROM (VALUES ('iam:CreateUser'), ('s3:GetObject'), ('vector:Search'), ('admin:Info')) AS a(action)",
-    "default_limits": "SELECT l.api, l.rate, l.burst FROM (VALUES ('PUT', 100, 20), ('GET', 1000, 100), ('DELETE', 500, 50), ('LIST', 100, 20), ('HEAD', 2000, 200), ('CREATE_BUCKET', 10, 5)) AS l(api, rate, burst)",
-    # pipelines
-    "pipeline_match": "SELECT p.pipeline, count(*) AS n FROM {objects} o JOIN (VALUES ('texts', 'text/', 0, 100000), ('small', '', 0, 1000), ('images', 'image/', 0, 100000)) AS p(pipeline, kind, low, high) ON o.content_type LIKE concat(p.kind, '%') AND o.size >= p.low AND o.size < p.high GROUP BY p.pipeline",
-    "metadata_extract": "SELECT doc_id, CASE WHEN content_type LIKE 'image/%' THEN 'image' WHEN content_type LIKE 'video/%' THEN 'video' WHEN content_type LIKE 'text/%' THEN 'text' ELSE 'unknown' END AS extracted_from FROM {objects}",
-    "image_sizes": "SELECT s.w, s.h, CASE WHEN s.w >= s.h THEN 300 ELSE CAST(floor(s.w * 300.0e0 / s.h) AS INT) END AS new_w, CASE WHEN s.w >= s.h THEN CAST(floor(s.h * 300.0e0 / s.w) AS INT) ELSE 300 END AS new_h FROM (VALUES (800, 600), (600, 800), (1000, 1000)) AS s(w, h)",
-    "thumbnails": "SELECT concat(o.key, '_thumb_', t.name) AS key, t.size FROM {objects} o CROSS JOIN (VALUES ('small', 100), ('medium', 300), ('large', 800)) AS t(name, size) WHERE o.bucket = 'src9'",
-    "auto_index_rows": "SELECT doc_id, substring(content, 1, 40) AS head FROM {objects} WHERE content_type LIKE 'text/%' AND trim(content) <> '' AND size <= 1048576",
-    "arn_parts": "SELECT concat('arn:aws:s3:::', bucket, '/', key) AS arn, bucket FROM {objects} WHERE doc_id < 50",
-    # the above over all rows: no id filter, and the whole text to index (its first 1 MB)
+    # contents
     "arn_all": "SELECT concat('arn:aws:s3:::', bucket, '/', key) AS arn, bucket FROM {objects}",
     "list_parts_all": "SELECT upload_id, part_number, size FROM {parts} WHERE part_number > 2",
     "list_parts_text_order_all": "SELECT upload_id, part_number, row_number() OVER (PARTITION BY upload_id ORDER BY CAST(part_number AS VARCHAR(20))) AS place FROM {parts}",
@@ -102,7 +54,6 @@ EXTRA = {
     "embeddings_ids": ("SELECT vec_id AS id FROM embeddings", lambda spark, d: table(spark, d, "embeddings").selectExpr("vec_id AS id")),
 }
 _RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels", "conversations", "pages")
-SQL["backup_retention"] = f"SELECT event_id FROM {{access_events}} WHERE access_time > TIMESTAMP '{AS_OF}' - INTERVAL '8' DAY"
 
 
 def names_in(body: str) -> list[str]:

@@ -151,3 +151,10 @@ def _thumbnails(spark, d):
 def _blobs(spark, d):
     """The files of the tables' folder as blobs; their contents aren't read."""
     return P.read_blobs(spark, d, "*.parquet").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
+
+
+@query("size_literals", "SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN o_orderkey * 1024 WHEN 1 THEN o_orderkey * 1048576 WHEN 2 THEN o_orderkey * 1073741824 WHEN 3 THEN o_orderkey * 1099511627776 WHEN 4 THEN o_orderkey WHEN 5 THEN o_orderkey ELSE -1 END AS bytes FROM orders")
+def _sizes(spark, d):
+    n = F.col("o_orderkey")
+    unit = F.element_at(F.array(*[F.lit(u) for u in ("KB", " mb", "GB", "TB", "B", "", "XB")]), (n % 7 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", F.coalesce(text.parse_size(F.concat(n.cast("string"), unit)), F.lit(-1)).alias("bytes"))

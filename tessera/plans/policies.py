@@ -249,3 +249,33 @@ def _arns(spark, d):
 def _hosts(spark, d):
     host = network.host_of(F.col("url"))
     return table(spark, d, "pages").select("page_id", host.alias("host"), network.client_address(F.when(F.col("page_id") % 2 == 0, F.concat(host, F.lit(", 10.0.0.1"))), F.concat(host, F.lit(":443"))).alias("client"))
+
+
+@query("role_durations", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 3600 WHEN c_custkey * 40 <= 3600 THEN c_custkey * 40 ELSE 3600 END AS granted, least(c_custkey * 4000, 129600) AS session, least(c_custkey * 4000, 43200) AS federation FROM customer")
+def _durations(spark, d):
+    n = F.col("c_custkey")
+    asked = F.when(n % 5 == 0, 0).otherwise(n * 40)
+    return table(spark, d, "customer").select("c_custkey", policy.role_duration(asked, F.lit(3600)).alias("granted"), policy.capped(n * 4000, policy.SESSION_CAP).alias("session"), policy.capped(n * 4000, policy.FEDERATION_CAP).alias("federation"))
+
+
+@query("cors_requests", "SELECT event_id, CASE user_id % 3 WHEN 0 THEN true WHEN 1 THEN user_id % 7 < 2 ELSE false END AS allowed FROM events")
+def _cors(spark, d):
+    u = F.col("user_id")
+    allowed = F.when(u % 3 == 0, F.array(F.lit("https://x.example"), F.lit("*"))).when(u % 3 == 1, F.array(F.lit("https://a0.example"), F.lit("https://a1.example"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "events").select("event_id", policy.origin_allowed(F.concat(F.lit("https://a"), u % 7, F.lit(".example")), allowed).alias("allowed"))
+
+
+@query("action_kinds", "SELECT event_id, event_type IN ('view', 'click', 'error') AS admin, event_type = 'signup' AS vector FROM events")
+def _kinds(spark, d):
+    t = F.col("event_type")
+    action = F.concat(F.when(t == "view", "iam").when(t == "click", "sts").when(t == "error", "admin").when(t == "signup", "vector").otherwise("s3"), F.lit(":"), t)
+    return table(spark, d, "events").select("event_id", policy.is_admin_action(action).alias("admin"), policy.is_vector_action(action).alias("vector"))
+
+
+@query("default_limits", "SELECT event_type AS api, count(*) AS n, CASE event_type WHEN 'purchase' THEN 100 WHEN 'error' THEN 500 WHEN 'signup' THEN 10 WHEN 'click' THEN 1000 ELSE -1 END AS rate, CASE event_type WHEN 'purchase' THEN 20 WHEN 'error' THEN 50 WHEN 'signup' THEN 5 WHEN 'click' THEN 100 ELSE -1 END AS burst FROM events GROUP BY event_type")
+def _limits(spark, d):
+    """Calls with the limits of their kind; one kind has none."""
+    t = F.col("event_type")
+    api = F.when(t == "purchase", "PUT").when(t == "error", "DELETE").when(t == "signup", "CREATE_BUCKET").when(t == "click", "GET").otherwise("COPY")
+    made = table(spark, d, "events").select(t.alias("api"), policy.limit_of(api).alias("l"))
+    return made.groupBy("api").agg(F.count("*").alias("n"), F.coalesce(F.max("l.rate"), F.lit(-1)).alias("rate"), F.coalesce(F.max("l.burst"), F.lit(-1)).alias("burst"))

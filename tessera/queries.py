@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from .functions import checksums, text
 from .operators import tiering, vectors
-from .plans import catalog
+from .plans import catalog, changes, contents, indexes, listings, policies, registry, upkeep  # noqa: F401
 from .sources.tables import AS_OF, DUCK, access_events, objects, table
 from .sources.tables import vectors as vector_table
 from .streaming import levels, limiters
 
-QUERIES = {name: catalog.spark_query(body) for name, body in catalog.SQL.items()}
-ORACLE_SQL = {name: catalog.duck_query(body) for name, body in catalog.SQL.items()}
+QUERIES = {name: catalog.spark_query(body) for name, body in catalog.SQL.items()} | registry.QUERIES
+ORACLE_SQL = {name: catalog.duck_query(body) for name, body in catalog.SQL.items()} | registry.ORACLE_SQL
 FLAGSHIP = "vec_cosine_topk"
 
 _V, _O, _E = (f"{n} AS ({DUCK[n]})" for n in ("vectors", "objects", "access_events"))
@@ -77,40 +77,6 @@ def _probe(spark, d):
     return _rounded(vectors.probe(vector_table(spark, d), _centroids(spark, d), _first_vector(spark, d), 3, 10))
 
 
-def _books(spark, d) -> list[list[list[float]]]:
-    c = [v for _, v in _centroids(spark, d)]
-    return [[v[s * 8 : s * 8 + 8] for v in c] for s in range(8)]
-
-
-@query("pq_adc")
-def _adc(spark, d):
-    books = _books(spark, d)
-    return vectors.adc(vectors.encode_pq(vector_table(spark, d), books), books, _first_vector(spark, d), 10)
-
-
-@query("kmeans_rounds")
-def _kmeans(spark, d):
-    made = vectors.kmeans(vector_table(spark, d), [c for _, c in _centroids(spark, d)], 3)
-    return spark.createDataFrame([(i, c) for i, c in enumerate(made)], "cluster int, center array<double>")
-
-
-@query("index_stats", "SELECT count(*) AS total, round(count(*) * 64 * 4 / 1048576.0, 6) AS memory_mb FROM embeddings")
-def _stats(spark, d):
-    return table(spark, d, "embeddings").agg(F.count("*").alias("total"), F.round(F.count("*") * 64 * 4 / 1048576.0, 6).alias("memory_mb"))
-
-
-@query("text_embedding")
-def _embedding(spark, d):
-    return objects(spark, d).select("doc_id", vectors.embed(F.col("content")).alias("embedding"))
-
-
-@query("text_search")
-def _text_search(spark, d):
-    made = objects(spark, d).select(F.col("doc_id").alias("id"), vectors.embed(F.col("content")).alias("values"), F.create_map().cast("map<string,string>").alias("metadata"))
-    target = spark.range(1).select(vectors.embed(F.lit("a quick search")).alias("q")).first().q
-    return _rounded(vectors.search(made, target, 10))
-
-
 @query("list_common_prefixes", f"WITH {_O} SELECT bucket, substring(key, 1, position('/' IN key)) AS prefix, count(*) AS n FROM objects WHERE position('/' IN key) > 0 GROUP BY ALL")
 def _prefixes(spark, d):
     o = objects(spark, d).select("bucket", text.common_prefix(F.col("key"), "", "/").alias("prefix"))
@@ -188,12 +154,6 @@ def _valid(spark, d):
     return objects(spark, d).select("bucket", text.valid_bucket(F.col("bucket")).alias("valid")).distinct()
 
 
-@query("size_literals", "SELECT * FROM (VALUES ('1GB', 1073741824), ('512MB', 536870912), ('1KB', 1024), ('7', 7), ('1TB', 1099511627776)) AS t(literal, bytes)")
-def _sizes(spark, d):
-    df = spark.createDataFrame([(x,) for x in ("1GB", "512MB", "1KB", "7", "1TB")], "literal string")
-    return df.select("literal", text.parse_size(F.col("literal")).alias("bytes"))
-
-
 def _events(spark, d) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), F.col("value").alias("bytes"), (F.col("event_type") == "error").cast("int").alias("failed"))
 
