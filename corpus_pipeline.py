@@ -45,7 +45,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_dups", near_dups), ("substrings", substrings), ("benchmark", benchmark), ("pieces", pieces)]
 
-#: Near-duplicate groups and the vocabulary's merges are beyond SQL; tests/llm holds run() against brute force.
+#: Languages and the vocabulary's merges are beyond SQL; tests/llm holds the texts and ids of run() against plain Python.
 ORACLE_SQL = None
 
 
