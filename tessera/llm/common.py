@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -29,19 +30,25 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-#: Folders made in each open scratch block, the innermost last.
-_scratch: list[list[str]] = []
+class _Scratch(threading.local):
+    """Folders made in each open scratch block of a thread, the innermost last."""
+
+    def __init__(self) -> None:
+        self.blocks: list[list[str]] = []
+
+
+_scratch = _Scratch()
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Removes at its end the shared folders made inside it, but for those made with keep: what leaves the block
     must rest on kept tables alone."""
-    _scratch.append([])
+    _scratch.blocks.append([])
     try:
         yield
     finally:
-        for path in _scratch.pop():
+        for path in _scratch.blocks.pop():
             remove(spark, path)
 
 
@@ -57,8 +64,8 @@ def shared_dir(spark: SparkSession, name: str, keep: bool = False) -> str:
         root = spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
     path = f"{root.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
     atexit.register(_quietly_remove, spark, path)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
+    if _scratch.blocks and not keep:
+        _scratch.blocks[-1].append(path)
     return path
 
 

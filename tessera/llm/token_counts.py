@@ -3,8 +3,8 @@
 A first pass finds frequent pre-tokens: each task keeps a bounded count summary, the summaries (one row a
 task) are merged in a tree, and the `frequent` commonest with their token counts are broadcast as a
 compact hash table (at most `frequent` entries, whatever the corpus). The second pass adds up looked-up
-counts; a miss is encoded once and kept in the worker's bounded cache. No pre-token is ever shuffled, and
-the table only saves work: counts don't depend on what is in it.
+counts; a miss is encoded once and kept in the worker's bounded cache. Pre-tokens of texts are never shuffled (what is merged
+is one bounded summary a task), and the table only saves work: counts don't depend on what is in it.
 
 A pre-token here is what stands between white space once the vocabulary's own normalizer has run. The
 vocabulary's rule drops white space and never joins across it, so counts of pre-tokens add up to the text's.
