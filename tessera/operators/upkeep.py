@@ -199,3 +199,42 @@ def prefetch(hotspots: DataFrame, prefix: str = "", delimiter: str = "/") -> Dat
     """What to load ahead of hotspots (bucket, object_key): their bucket with the folder, each once."""
     folder = F.coalesce(common_prefix(F.col("object_key"), prefix, delimiter), "object_key")
     return hotspots.select(F.concat_ws("/", "bucket", folder).alias("prefix")).distinct()
+
+
+def set_enabled(tasks: DataFrame, names: tuple[str, ...], enabled: bool) -> DataFrame:
+    """tasks (task, enabled) with some switched on or off."""
+    return tasks.withColumn("enabled", F.when(F.col("task").isin(*names), F.lit(enabled)).otherwise(F.col("enabled")))
+
+
+def query_stats(log: DataFrame) -> DataFrame:
+    """Searches and their mean latency of each index, from a log (index, latency_ms)."""
+    return log.groupBy("index").agg(F.count("*").alias("queries"), F.avg("latency_ms").alias("avg_latency_ms"))
+
+
+def store_stats(objects: DataFrame, uploads: DataFrame, flushes: DataFrame) -> DataFrame:
+    """objects, buckets, total_size, uploads and flushes of a store, in one row."""
+    of = objects.agg(F.count("*").alias("objects"), F.count_distinct("bucket").alias("buckets"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("total_size"))
+    return of.crossJoin(uploads.agg(F.count("*").alias("uploads"))).crossJoin(flushes.agg(F.count_distinct("bucket", "flush").alias("flushes")))  # one row each
+
+
+def keys_by_bucket(keys: DataFrame) -> DataFrame:
+    """total and a map of the keys in each bucket, in one row."""
+    each = keys.groupBy("bucket").agg(F.count("*").alias("n"))  # a row a bucket
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "n")))).alias("by_bucket"))
+
+
+def replication_totals(jobs: DataFrame) -> DataFrame:
+    """total, completed, failed, pending and the bytes of completed jobs (status, size), in one row."""
+    is_ = lambda s: F.col("status") == s
+    return jobs.agg(F.count("*").alias("total"), *[F.count_if(is_(s)).alias(s) for s in ("completed", "failed", "pending")], F.coalesce(F.sum(F.when(is_("completed"), F.col("size"))), F.lit(0)).cast("long").alias("bytes"))
+
+
+def delete_blobs(blobs: DataFrame, gone: DataFrame) -> DataFrame:
+    """n and size of each tier after blobs (bucket, key) are gone."""
+    left = blobs.join(gone.select("bucket", "key").distinct(), ["bucket", "key"], "left_anti")
+    return left.groupBy("storage_tier").agg(F.count("*").alias("n"), F.greatest(F.lit(0), F.sum("size")).cast("long").alias("size"))
+
+
+def credential(credentials: DataFrame, access_key: str, as_of: Column) -> DataFrame:
+    """The temporary credential of a key, if it has not expired."""
+    return credentials.where((F.col("access_key") == access_key) & (F.col("expires_at") >= as_of))

@@ -50,6 +50,25 @@ def matches(filters: dict[str, str]) -> Column:
     return out
 
 
+#: Bytes of a search's text; results without a number, and at most; the least score without one.
+MOST_QUERY, DEFAULT_K, MOST_K, DEFAULT_THRESHOLD = 10_000, 20, 100, 0.7
+
+
+def request(text: str, top_k: str | int | None = None, threshold: str | float | None = None) -> tuple[str, int, float]:
+    """A search's text, number of results (none or unreadable, or at most 0: 20; more than 100: 100) and least score."""
+    if not text or len(text.encode()) > MOST_QUERY:
+        raise ValueError(f"a search takes 1 to {MOST_QUERY} bytes of text")
+
+    def read(value, kind, default):
+        try:
+            return kind(value)
+        except (TypeError, ValueError):
+            return default
+
+    k = read(top_k, int, DEFAULT_K)
+    return text, DEFAULT_K if k <= 0 else min(MOST_K, k), read(threshold, float, DEFAULT_THRESHOLD)
+
+
 def search(vectors: DataFrame, query: list[float], k: int = 20, metric: str = "cosine", filters: dict[str, str] | None = None, threshold: float | None = None) -> DataFrame:
     """The k (1 to 100) nearest: filter, score, then a top-k that keeps k rows a task; no shuffle of the vectors."""
     k = max(1, min(100, k))
@@ -198,9 +217,10 @@ def draw(vectors: DataFrame, n: int, seed: int = 0) -> np.ndarray:
 
 
 class IvfPq:
-    """Inverted lists of product-quantized vectors, stored by cluster, so that a search reads the lists it probes."""
+    """Inverted lists of product-quantized vectors, stored by cluster, so that a search reads the lists it probes. Without
+    centroids (before training) vectors are only stored, and a search scans them exactly."""
 
-    def __init__(self, spark: SparkSession, path: str, centroids: np.ndarray, books: list[np.ndarray]) -> None:
+    def __init__(self, spark: SparkSession, path: str, centroids: np.ndarray | None = None, books: list[np.ndarray] | None = None) -> None:
         self.spark, self.path, self.centroids, self.books = spark, path, centroids, books
 
     @classmethod
@@ -220,11 +240,18 @@ class IvfPq:
 
     def add(self, vectors: DataFrame) -> None:
         """Store vectors under the trained centers; one shuffle by cluster keeps a list in few files, and large lists are split."""
+        if self.centroids is None:
+            vectors.withColumns({"codes": F.lit(None).cast("array<int>"), "cluster": F.lit(-1)}).write.mode("append").partitionBy("cluster").parquet(self.path)
+            return
         numbered = [(i, c) for i, c in enumerate(self.centroids.tolist())]
         placed = encode_pq(assign(vectors, numbered).drop("distance"), [b.tolist() for b in self.books])
         salted = placed.repartition("cluster", F.pmod(F.xxhash64("id"), F.lit(8)))
         salted.write.mode("append").partitionBy("cluster").parquet(self.path)
 
+    def rebuild(self, path: str, **sizes: int) -> IvfPq:
+        """A new index under path, trained anew on the vectors of this one."""
+        return IvfPq.build(self.lists().drop("cluster", "codes"), path, **sizes)
+
     def lists(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
 
@@ -235,6 +262,8 @@ class IvfPq:
         """id, score (1 / (1 + distance)) of about the k nearest: filter, then distances from the lookup table over the
         probed lists; where they hold fewer than k rows, the other lists are scanned exactly. rerank gives the probed
         rows their exact distances."""
+        if self.centroids is None:
+            return search(self.lists(), query, k, "euclidean", filters)
         probed = near_clusters(list(enumerate(self.centroids.tolist())), query, min(nprobe, len(self.centroids)))
         rows = self.lists().where(matches(filters or {})) if filters else self.lists()
         inside, outside = rows.where(F.col("cluster").isin(probed)), rows.where(~F.col("cluster").isin(probed))

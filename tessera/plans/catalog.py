@@ -32,13 +32,10 @@ SQL = {
     "version_latest": "SELECT bucket, max(doc_id) AS latest FROM {objects} GROUP BY bucket",
     "vector_delete": "SELECT e.id FROM {embeddings_ids} e WHERE NOT EXISTS (SELECT 1 FROM {objects} o WHERE o.doc_id = e.id AND o.bucket = 'src0')",
     # aggregates
-    "store_stats": "SELECT count(*) AS objects, count(DISTINCT bucket) AS buckets, CAST(sum(size) AS BIGINT) AS total_size FROM {objects}",
     "tier_sizes": "SELECT storage_tier, CAST(sum(size) AS BIGINT) AS size FROM {objects} GROUP BY storage_tier",
     "sync_status": "SELECT o_orderpriority AS bucket, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS pending, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS failed FROM {orders} GROUP BY o_orderpriority",
-    "replication_totals": "SELECT o_orderstatus AS status, count(*) AS n FROM {orders} GROUP BY o_orderstatus",
     "cache_hit_rate": "SELECT user_id, CASE WHEN count(*) = 0 THEN 0.0e0 ELSE round(count(CASE WHEN access_type = 'view' THEN 1 END) * 1.0e0 / count(*), 6) END AS hit_rate FROM {access_events} GROUP BY user_id",
     "limiter_counters": "SELECT access_type AS limit_type, count(*) AS n FROM {access_events} GROUP BY access_type",
-    "keys_per_bucket": "SELECT bucket, count(*) AS keys FROM {objects} GROUP BY bucket",
     "multipart_complete": "SELECT upload_id, CAST(sum(size) AS BIGINT) AS size, count(*) AS parts FROM {parts} GROUP BY upload_id",
     "concurrency_peak": "SELECT user_id, max(open_now) AS peak FROM (SELECT user_id, CAST(sum(d) OVER (PARTITION BY user_id ORDER BY moment, d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS open_now FROM (SELECT user_id, access_time AS moment, 1 AS d FROM {access_events} UNION ALL SELECT user_id, access_time + INTERVAL '6' HOUR AS moment, -1 AS d FROM {access_events}) e) t GROUP BY user_id",
     "expired_credentials": "SELECT count(*) AS expired FROM {orders} WHERE o_orderdate < TIMESTAMP '1995-06-01 00:00:00'",

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tables, tiering, upkeep
-from ..sources.tables import AS_OF, access_events, objects, parts, table, versions
+from ..sources.shared import shared_folder
+from ..sources.tables import AS_OF, access_events, objects, parts, table, uploads, versions
 from ..streaming import caches, limiters
 from .registry import query
 
@@ -221,3 +222,56 @@ def _concurrency(spark, d):
     return peak(rows, "user_id").select("user_id", F.greatest(F.lit(0), F.col("peak") - 2).alias("waiting"))
 
 
+
+
+@query("store_stats", "SELECT (SELECT count(*) FROM objects) AS objects, (SELECT count(DISTINCT bucket) FROM objects) AS buckets, (SELECT CAST(sum(size) AS BIGINT) FROM objects) AS total_size, (SELECT count(*) FROM orders) AS uploads, (SELECT CAST(sum(f) AS BIGINT) FROM (SELECT ceil(count(*) / 100.0) AS f FROM events GROUP BY user_id % 5)) AS flushes", "objects")
+def _store(spark, d):
+    log = tables.wal(table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 5).alias("bucket"), F.col("props").alias("data")))
+    return upkeep.store_stats(objects(spark, d), uploads(spark, d), log)
+
+
+@query("keys_by_bucket", "SELECT count(*) AS total, (SELECT string_agg(bucket || '=' || n, ',' ORDER BY bucket) FROM (SELECT bucket, count(*) AS n FROM objects GROUP BY bucket)) AS by_bucket FROM objects", "objects")
+def _keys(spark, d):
+    made = upkeep.keys_by_bucket(objects(spark, d))
+    return made.select("total", F.array_join(F.transform(F.map_entries("by_bucket"), lambda e: F.concat(e.key, F.lit("="), e.value)), ",").alias("by_bucket"))
+
+
+@query("replication_totals", "SELECT count(*) AS total, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS completed, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS failed, count(CASE WHEN o_orderstatus NOT IN ('F', 'P') THEN 1 END) AS pending, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN o_orderkey ELSE 0 END) AS BIGINT) AS bytes FROM orders")
+def _totals(spark, d):
+    s = F.col("o_orderstatus")
+    return upkeep.replication_totals(table(spark, d, "orders").select(F.when(s == "F", "completed").when(s == "P", "failed").otherwise("pending").alias("status"), F.col("o_orderkey").alias("size")))
+
+
+@query("delete_blobs", "SELECT storage_tier, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM objects WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY storage_tier", "objects")
+def _blobs(spark, d):
+    o = objects(spark, d)
+    return upkeep.delete_blobs(o, o.join(table(spark, d, "labels").where("quality = 0"), "doc_id", "left_semi"))
+
+
+@query("query_latencies", "SELECT event_type AS \"index\", count(*) AS queries, round(avg(value), 6) AS avg_latency_ms FROM events GROUP BY event_type")
+def _latencies(spark, d):
+    made = upkeep.query_stats(table(spark, d, "events").select(F.col("event_type").alias("index"), F.col("value").alias("latency_ms")))
+    return made.withColumn("avg_latency_ms", F.round("avg_latency_ms", 6))
+
+
+@query("credential_of_key", "SELECT 'AK' || o_orderkey AS access_key, 'c' || o_custkey AS principal FROM orders WHERE o_orderkey IN (7, 8, 9) AND o_orderdate >= TIMESTAMP '1995-01-01'")
+def _credential(spark, d):
+    o = table(spark, d, "orders").select(F.concat(F.lit("AK"), "o_orderkey").alias("access_key"), F.concat(F.lit("c"), "o_custkey").alias("principal"), F.col("o_orderdate").alias("expires_at"))
+    now = F.lit("1995-01-01").cast("timestamp_ntz")
+    found = [upkeep.credential(o, f"AK{i}", now) for i in (7, 8, 9)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("access_key", "principal")
+
+
+@query("backup_restored", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _restored(spark, d):
+    """Two tables written as a backup and read back."""
+    path = shared_folder(spark, "backup")
+    upkeep.snapshot({n: table(spark, d, n) for n in ("nation", "region")}, path)
+    held = upkeep.restore(spark, path, ("nation", "region"))
+    return held["nation"].join(held["region"], F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+
+
+@query("schedule_switches", "SELECT c_custkey, c_mktsegment AS task, c_mktsegment <> 'BUILDING' AS enabled FROM customer")
+def _switches(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("task"), F.lit(True).alias("enabled"))
+    return upkeep.set_enabled(rows, ("BUILDING",), False)

@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 
 from tessera import queries
 from tessera.functions import network, text
-from tessera.operators import graph, listing, pipelines, policy, tables, tiering, upkeep, vectors
+from tessera.operators import graph, images, listing, pipelines, policy, tables, tiering, upkeep, vectors
 from tessera.sources.shared import shared_folder
-from tessera.streaming import caches, limiters
+from tessera.streaming import access, caches, limiters
 
 
 def _one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
-def test_filters_that_cannot_be_read():
+def test_filters_that_cannot_be_read(spark):
     for bad in ("size <", "size < x", "(size < 1", "colour = red", "key < 3", "size ~ 3", "size < 1KB extra"):
         with pytest.raises(pipelines.FilterError):
             pipelines.condition(bad)
@@ -262,3 +262,64 @@ def test_checksums_in_any_spelling(spark):
     for sent in ("c99465aa", "C99465AA", "yZRlqg=="):
         assert _one(spark, upkeep.put_outcome(data, F.lit(sent), F.lit("crc32c"), ("CRC32C",))) == "ok"
     assert _one(spark, upkeep.put_outcome(data, F.lit("yZRlqA=="), F.lit("CRC32C"), ("CRC32C",))) == "BadDigest"
+
+
+def test_images(spark):
+    r = np.random.default_rng(0)
+    for n in (1, 2, 3, 4):
+        x = r.integers(0, 256, (13, 21, n), dtype=np.uint8)
+        assert np.array_equal(images.decode_png(images.encode_png(x)), x)
+    flat = np.full((40, 20, 3), 77, np.uint8)
+    rows = [("a", images.encode_png(flat)), ("b", b"GIF89a" + bytes([5, 0, 9, 0])), ("c", b"no image"), ("d", None)]
+    df = spark.createDataFrame(rows, "key string, content binary")
+    assert {(i.key, i.format, i.width, i.height, i.color_model, i.has_alpha) for i in images.image_info(df).collect()} == {("a", "png", 20, 40, "rgb", False), ("b", "gif", 5, 9, "paletted", False), ("c", None, None, None, None, None), ("d", None, None, None, None, None)}
+    made = {(m.key, m.name): m for m in images.pixels(df, {"small": (10, 10), "same": (0, 0)}).collect()}
+    assert (made["a", "small"].width, made["a", "small"].height) == (5, 10) and np.all(images.decode_png(bytes(made["a", "small"].content)) == 77)
+    assert made["a", "same"].height == 40 and made["b", "small"].error == "not a PNG image" and made["c", "same"].content is None
+    # each filter of the format, against what the lines were made from
+    x = r.integers(0, 256, (6, 5, 3), dtype=np.uint8).reshape(6, 15)
+    for kind in range(5):
+        above = np.zeros(15, int)
+        for line in x.astype(int):
+            left, corner = np.concatenate([np.zeros(3, int), line[:-3]]), np.concatenate([np.zeros(3, int), above[:-3]])
+            p = left + above - corner
+            near = np.where((abs(p - left) <= abs(p - above)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - above) <= abs(p - corner), above, corner))
+            sent = (line - {0: 0, 1: left, 2: above, 3: (left + above) // 2, 4: near}[kind]) % 256
+            assert np.array_equal(images._unfilter(kind, sent.astype(np.uint8), above.astype(np.uint8), 3), line)
+            above = line
+
+
+def test_searches_are_bounded():
+    assert vectors.request("q") == ("q", 20, 0.7) and vectors.request("q", "1000", "0.5") == ("q", 100, 0.5) and vectors.request("q", -1, "x") == ("q", 20, 0.7)
+    for bad in ("", "x" * 10_001):
+        with pytest.raises(ValueError):
+            vectors.request(bad)
+
+
+def test_untrained_lists_are_scanned(spark):
+    df = spark.createDataFrame([(i, [float(i), 0.0], {}) for i in range(30)], "id long, values array<double>, metadata map<string,string>")
+    index = vectors.IvfPq(spark, shared_folder(spark, "ivf"))
+    index.add(df.where("id < 20"))
+    index.add(df.where("id >= 20"))
+    assert [r.id for r in index.search([25.2, 0.0], 3).collect()] == [25, 26, 24]
+    again = index.rebuild(shared_folder(spark, "ivf"), clusters=4, slices=2, entries=8, rounds=3)
+    assert sum(r.n for r in again.sizes().collect()) == 30
+
+
+def test_hotspots_of_a_stream(spark, tmp_path):
+    at = lambda m, s=0: dt.datetime(2024, 1, 1, 0, m, s)
+    schema = "object_key string, access_time timestamp"
+    batches = [[("a", at(0, i)) for i in range(6)] + [("b", at(0, 0))], [("a", at(5, i)) for i in range(6)], [("a", at(16, i)) for i in range(4)]]
+    source = tmp_path / "in"
+    source.mkdir()
+    stream = access.hotspots(spark.readStream.schema(schema).parquet(str(source)))
+    query = stream.writeStream.format("memory").queryName("hot").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").start()
+    try:
+        for i, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+            for f in (tmp_path / f"b{i}").glob("*.parquet"):
+                f.rename(source / f"{i}-{f.name}")
+            query.processAllAvailable()
+        assert [(r.object_key, r.accesses) for r in spark.table("hot").collect()] == [("a", 12)]
+    finally:
+        query.stop()
