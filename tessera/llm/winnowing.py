@@ -6,7 +6,7 @@ code points in a row share a chosen hash there. A text shorter than a k-gram is
 grams than a window is one window, an empty text has no fingerprint hashes.
 
 Defined cases: null text is empty; two empty fingerprints have likeness 1, an empty and another 0; equal texts
-have equal fingerprints; rows are ordered by doc_id (descending, null last), then text; the row after the
+have equal fingerprints; rows are ordered by doc_id (descending, null last), then a hash of the text; the row after the
 last is the first, so a single row follows itself; an empty table gives no rows; other columns are ignored.
 """
 
@@ -28,10 +28,12 @@ U64 = np.uint64
 K, WINDOW = 16, 16
 _POSITION = U64((1 << 28) - 1)
 _LOWEST = -(1 << 63)
+#: Grams that are windowed at once; a position within has to fit into _POSITION.
+BLOCK = 1 << 27
 
 
 def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Chosen hashes and their positions, by position; texts of under 2**28 code points."""
+    """Chosen hashes and their positions, by position."""
     c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(U64)
     n = len(c)
     if not n:
@@ -42,6 +44,16 @@ def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.
     sums[0] = 0
     np.cumsum((c + U64(1)) * U64(0x9FB21C651E98DF25) * up[:n], out=sums[1:])
     h = mix((sums[k:] - sums[:-k]) * down[: n - k + 1] + U64(k))
+    if len(h) > BLOCK:  # windows of one block after another; blocks overlap by a window less one
+        parts = [i + _chosen(h[i : i + BLOCK + window - 1], window) for i in range(0, len(h) - window + 1, BLOCK)]
+        at = np.unique(np.concatenate(parts))
+    else:
+        at = _chosen(h, window)
+    return h[at], at
+
+
+def _chosen(h: np.ndarray, window: int) -> np.ndarray:
+    """Positions of the smallest hash of each window, the rightmost among equals."""
     # position in the low bits, counted down: among equal hashes the rightmost is the smallest
     key = (h & ~_POSITION) | (_POSITION - np.arange(len(h), dtype=U64))
     if len(key) <= window:
@@ -52,8 +64,7 @@ def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.
             step = min(have, window - have)
             least, have = np.minimum(least[:-step], least[step:]), have + step
     at = (_POSITION - (least & _POSITION)).astype(np.int64)
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-    return h[at], at
+    return at[np.concatenate([[True], at[1:] != at[:-1]])]
 
 
 def digest(hashes: np.ndarray, positions: np.ndarray) -> str:
@@ -87,32 +98,52 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+class Ranges:
+    """Ranges of (doc_id, hash of text), ascending; an id that many rows share (or that is null) is split by the hash."""
+
+    def __init__(self, quantiles: list[int]) -> None:
+        self.ids, self.many = np.unique(np.array(quantiles, np.int64), return_counts=True)
+        self.before = np.concatenate([[0], np.cumsum(self.many)])
+
+    def __len__(self) -> int:
+        return int(self.before[-1]) + 1
+
+    def of(self, key: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        left, right = np.searchsorted(self.ids, key), np.searchsorted(self.ids, key, "right")
+        many = np.where(right > left, np.append(self.many, 0)[left], 0)
+        place = (hashes.view(U64) ^ U64(1 << 63)) / 2.0**64  # of the hash among all, from 0 to 1
+        return self.before[left] + np.minimum(many, (place * (many + 1)).astype(np.int64))
+
+
 def beside_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) dealt by ranges of doc_id, in descending order, each range (pid) ending with a copy (extra = 1) of
     the row that follows its last one.
 
-    One shuffle of the texts. Ranges come from quantiles of doc_id; only a range's largest id reaches the driver.
+    One shuffle of the texts. Ranges come from quantiles of doc_id and are dealt by number; only a range's largest key
+    reaches the driver.
     """
     spark = docs.sparkSession
-    rows, n = _rows(docs), 4 * tasks_for(spark)
-    key = F.coalesce("doc_id", F.lit(_LOWEST).cast("long"))
-    edges = np.array(sorted(set(rows.select(key.alias("k")).agg(F.percentile_approx("k", [i / n for i in range(1, n)])).first()[0] or [])), np.int64)
+    rows, n = _rows(docs), tasks_for(spark)
+    keyed = rows.withColumn("k", F.coalesce("doc_id", F.lit(_LOWEST).cast("long"))).withColumn("h", F.xxhash64("text"))
+    ranges = Ranges(rows.select(F.coalesce("doc_id", F.lit(_LOWEST).cast("long")).alias("k")).agg(F.percentile_approx("k", [i / n for i in range(1, n)])).first()[0] or [] if n > 1 else [])
 
     @F.pandas_udf("long")
-    def range_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, k.to_numpy()), dtype="int64")
+    def range_of(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(ranges.of(k.to_numpy(), h.to_numpy()), dtype="int64")
 
-    tops = sorted((r.pid, r.top) for r in rows.select(range_of(key).alias("pid"), key.alias("k")).groupBy("pid").agg(F.max("k").alias("top")).collect())
-    target = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
+    tops = sorted((r.pid, r.top.k, r.top.h) for r in keyed.select(range_of("k", "h").alias("pid"), "k", "h").groupBy("pid").agg(F.max(F.struct("k", "h")).alias("top")).collect())
+    full, ids, hashes = (np.array(x, np.int64) for x in (zip(*tops, strict=True) if tops else ([], [], [])))
+    target = np.roll(full, -1)
 
     @F.pandas_udf("long")
-    def also_to(k: pd.Series) -> pd.Series:
-        return k.map(target).fillna(-1).astype("int64")
-
-    places = F.array(F.struct(range_of(key).alias("pid"), F.lit(0).alias("extra")), F.struct(also_to(key).alias("pid"), F.lit(1).alias("extra")))
-    marked = rows.withColumn("places", places).select("doc_id", "text", F.explode(F.filter("places", lambda p: p.pid >= 0)).alias("p"))
-    dealt = marked.select("doc_id", "text", "p.pid", "p.extra").repartition(tasks_for(spark), "pid")
-    return dealt.sortWithinPartitions("pid", "extra", F.col("doc_id").desc_nulls_last(), "text")
+    def also_to(k: pd.Series, h: pd.Series) -> pd.Series:
+        at = np.searchsorted(full, ranges.of(k.to_numpy(), h.to_numpy()))
+        return pd.Series(np.where((ids[at] == k.to_numpy()) & (hashes[at] == h.to_numpy()), target[at], -1), dtype="int64")
+
+    places = F.array(F.struct(range_of("k", "h").alias("pid"), F.lit(0).alias("extra")), F.struct(also_to("k", "h").alias("pid"), F.lit(1).alias("extra")))
+    marked = keyed.withColumn("places", places).select("doc_id", "text", "h", F.explode(F.filter("places", lambda p: p.pid >= 0)).alias("p"))
+    dealt = marked.select("doc_id", "text", "p.pid", "p.extra", "h").repartitionById(len(ranges), F.col("pid").cast("int"))
+    return dealt.sortWithinPartitions("pid", "extra", F.col("doc_id").desc_nulls_last(), F.desc("h"), "text")
 
 
 def compare_with_next(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
