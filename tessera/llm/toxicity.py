@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
 Voters are lexicons (stated seed lists in four languages; lexicons of words and word beginnings drawn from labelled
-training rows) and patterns. Labels enter in two places only: lexicons are drawn from one half of the labelled rows
-and vote on the other half (so no row's label makes its own votes), and the share of toxic rows is taken as known.
+training rows) and patterns. Labels enter in two places only: lexicons that vote on one fold of the labelled rows are drawn
+from the other folds (so no row's label makes its own votes), and the share of toxic rows is taken as known.
 
 A generative label model then sees votes alone. It starts from the voters' agreement and estimates by EM each voter's
 rates of voting on either class (its accuracy) and the voters' correlations within a class; a voter that doesn't vote
@@ -36,9 +36,10 @@ FIT_ROWS = 12_000
 #: Words and beginnings that fitting looks at, and the fewest rows that must have one.
 VOCABULARY, RARE = 1 << 17, 4
 BUCKETS = 1 << 18
-LEXICONS, PER_LEXICON = 24, 4
+#: Lexicons that are drawn (a word, or all words with one beginning, each), and folds of the rows that they are drawn across.
+LEXICONS, FOLDS = 120, 5
 #: The least log ratio of a lexicon's word; the least |log ratio| * sqrt(rows) of a classifier's word.
-TELLING, FEATURE = 2.0, 7.0
+TELLING, FEATURE = 2.0, 6.0
 #: Small lists of insults.
 SEEDS = {
     "en insult": ["idiot", "idiots", "moron", "morons", "stupid", "dumb", "imbecile", "fool"],
@@ -124,8 +125,9 @@ def _ratio(bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float) -> np
     return np.log((bad + 0.25) / (n_bad + 0.5)) - np.log((good + 0.25) / (n_good + 0.5))
 
 
-def draw_lexicons(doc: np.ndarray, word: np.ndarray, y: np.ndarray, among: np.ndarray, size: int) -> list[np.ndarray]:
-    """LEXICONS lists of words out of `size` that tell toxic rows (y) from others among some; (doc, word): these rows' distinct words.
+def draw_lexicons(doc: np.ndarray, word: np.ndarray, y: np.ndarray, among: np.ndarray, size: int) -> list[int]:
+    """At most LEXICONS of `size` words and beginnings that tell toxic rows (y) from others among some; (doc, word): these
+    rows' distinct ones.
 
     The next word is the most telling one among toxic rows, each counted less for every word it has already."""
     bad, good = np.bincount(word[y[doc]], minlength=size), np.bincount(word[~y[doc]], minlength=size)
@@ -133,7 +135,7 @@ def draw_lexicons(doc: np.ndarray, word: np.ndarray, y: np.ndarray, among: np.nd
     able = (bad >= 3) & (ratio > TELLING)
     of = y[doc] & able[word]
     doc, word, had, drawn = doc[of], word[of], np.zeros(len(y)), []
-    while len(drawn) < LEXICONS * PER_LEXICON:
+    while len(drawn) < LEXICONS:
         gain = np.where(able, ratio * np.sqrt(np.bincount(word, 1 / (1 + had[doc]), minlength=size)), 0)
         j = int(gain.argmax()) if size else 0
         if not size or gain[j] <= 2:
@@ -141,7 +143,7 @@ def draw_lexicons(doc: np.ndarray, word: np.ndarray, y: np.ndarray, among: np.nd
         drawn.append(j)
         able[j] = False
         had[doc[word == j]] += 1
-    return [np.array(drawn[k::LEXICONS], np.int64) for k in range(LEXICONS)]
+    return drawn
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
@@ -149,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     spark = session(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null and pmod(crc32(cast(doc_id as string)), 5) <> 0")
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    halved = chosen.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"))
+    folded = chosen.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,11 +159,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
             for i, j in slices(offsets):
                 g, at, votes = features(data[offsets[i] : offsets[j]], offsets[i : j + 1])
                 own = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([g[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([r.tobytes() for r in votes], pa.binary())], names=["toxic", "half", "words", "votes"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([g[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([r.tobytes() for r in votes], pa.binary())], names=["toxic", "fold", "words", "votes"])
 
     # at most fit_rows small rows: their ids are broadcast
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(halved), "doc_id")
-    rows = staged(joined.select("toxic", "half", "text").mapInArrow(run, "toxic int, half int, words binary, votes binary"), shared_dir(spark, "toxic-rows"))
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(folded), "doc_id")
+    rows = staged(joined.select("toxic", "fold", "text").mapInArrow(run, "toxic int, fold int, words binary, votes binary"), shared_dir(spark, "toxic-rows"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,30 +182,29 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
                 w = np.frombuffer(w, "<u8")
                 place = np.searchsorted(known, w)
                 found.append(place[np.append(known, U64(0))[place] == w].astype("<i4").tobytes() if len(known) else b"")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary()), b.column(3)], names=["toxic", "half", "words", "votes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary()), b.column(3)], names=["toxic", "fold", "words", "votes"])
 
-    seen = rows.mapInArrow(pick, "toxic int, half int, words binary, votes binary").toArrow()
-    y, half = seen["toxic"].to_numpy() > 0, seen["half"].to_numpy() > 0
+    seen = rows.mapInArrow(pick, "toxic int, fold int, words binary, votes binary").toArrow()
+    y, fold = seen["toxic"].to_numpy() > 0, seen["fold"].to_numpy()
     if not len(y) or y.all() or not y.any():
         return {"weights": np.zeros(BUCKETS, np.float32), "patterns": np.zeros(len(PATTERNS)), "bias": -1e-6, "label_model": {}}
     sets = [np.frombuffer(x, "<i4") for x in seen["words"].to_pylist()]
     patterns = np.stack([np.frombuffer(x, np.bool_) for x in seen["votes"].to_pylist()])
     word, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    weights, pattern_weights, bias, keep, model = learn(doc, word, y, half, patterns, vocabulary)
+    weights, pattern_weights, bias, keep, model = learn(doc, word, y, fold, patterns, vocabulary)
     table = np.zeros(BUCKETS, np.float32)
     np.add.at(table, (vocabulary[keep] % U64(BUCKETS)).astype(np.int64), weights)
     return {"weights": table, "patterns": pattern_weights, "bias": float(bias), "label_model": model}
 
 
-def learn(doc: np.ndarray, word: np.ndarray, y: np.ndarray, half: np.ndarray, patterns: np.ndarray, vocabulary: np.ndarray):
+def learn(doc: np.ndarray, word: np.ndarray, y: np.ndarray, fold: np.ndarray, patterns: np.ndarray, vocabulary: np.ndarray):
     """Weights, pattern weights, bias, the words that have weights, and the label model, of rows' distinct words."""
     n, size = len(y), len(vocabulary)
     votes = np.zeros((n, LEXICONS + len(SEEDS)), bool)
-    for side in (False, True):
-        own = (half == side)[doc]
-        if (y & (half == side)).any():
-            for k, members in enumerate(draw_lexicons(doc[own], word[own], y, half == side, size)):
-                votes[doc[~own & np.isin(word, members)], k] = True
+    for f in np.unique(fold):
+        own = (fold != f)[doc]
+        for k, member in enumerate(draw_lexicons(doc[own], word[own], y, fold != f, size)):
+            votes[doc[~own & (word == member)], k] = True
     for k, seeds in enumerate(SEEDS.values()):
         members = np.flatnonzero(np.isin(vocabulary, hash_words(seeds)))
         votes[doc[np.isin(word, members)], LEXICONS + k] = True
