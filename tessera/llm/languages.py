@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from . import words
 from .common import raw, scratch, session, shared_dir, slices, staged, texts_of, without
 
-FIT_ROWS = 1000
+#: Texts a language is fitted on at most, and how many times as many are drawn.
+FIT_ROWS, DRAWN = 1000, 4
 TABLE = 1 << 16
 TEMPER, HOST_WEIGHT, UND = 0.25, 20.0, "und"
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -62,9 +63,14 @@ def fit(labelled: DataFrame, text: str = "text", language: str = "lang", fit_row
     """Languages (every one that is declared) and their log trigram probabilities (TABLE numbers a language), from at most
     fit_rows distinct texts a language. Two passes over the rows, whatever the number of languages."""
     own = labelled.where(F.col(language).isNotNull() & (F.col(language) != "")).select(F.col(language).alias("own"), F.col(text).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
-    # the smallest hashes of each language, so that copies of a text count once: only hashes are shuffled
+    # the smallest hashes of each language, so that copies of a text count once. A count by sketch bounds them first to
+    # about DRAWN times what is needed, so that a language's texts are few, whatever its share of the rows
+    counts = own.groupBy("own").agg(F.approx_count_distinct("hash").alias("n")).collect()  # a row a language
+    bounds = [(r.own, min((1 << 63) - 1, -(1 << 63) + (1 << 64) * DRAWN * fit_rows // max(1, r.n))) for r in counts]
+    top = labelled.sparkSession.createDataFrame(bounds, "own string, top long")
+    drawn = staged(own.join(F.broadcast(top), "own").where("hash <= top").select("own", "hash", "text").distinct(), shared_dir(labelled.sparkSession, "languages-drawn"))
     place = F.row_number().over(Window.partitionBy("own").orderBy("hash"))
-    cuts = own.select("own", "hash").distinct().withColumn("place", place).where(F.col("place") <= fit_rows).groupBy("own").agg(F.max("hash").alias("cut")).collect()
+    cuts = drawn.select("own", "hash").distinct().withColumn("place", place).where(F.col("place") <= fit_rows).groupBy("own").agg(F.max("hash").alias("cut")).collect()
     languages = sorted(r.own for r in cuts)
     number, cut = {x: i for i, x in enumerate(languages)}, {r.own: r.cut for r in cuts}
 
@@ -84,7 +90,7 @@ def fit(labelled: DataFrame, text: str = "text", language: str = "lang", fit_row
     seen = np.zeros((len(languages), TABLE))
     if languages:
         limit = labelled.sparkSession.createDataFrame([(x, cut[x]) for x in languages], "own string, cut long")  # a row a language
-        rows = own.join(F.broadcast(limit), "own").where("hash <= cut").select("own", "text").distinct()
+        rows = drawn.join(F.broadcast(limit), "own").where("hash <= cut").select("own", "text")
         counted = rows.mapInArrow(count, "own string, gram long, n long").groupBy("own", "gram").agg(F.sum("n").alias("n")).toArrow()
         np.add.at(seen, (np.array([number[x] for x in counted["own"].to_pylist()], np.int64), counted["gram"].to_numpy()), counted["n"].to_numpy())
     log = np.log((seen + 0.05) / (seen.sum(axis=1, keepdims=True) + 0.05 * TABLE))
