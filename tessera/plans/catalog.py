@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import ADAPTERS, AS_OF, DUCK, table
+from ..sources.tables import ADAPTERS, DUCK, table
 
 #: name -> (Spark's, DuckDB's).
 DIALECT = {"@rlike(": ("rlike(", "regexp_matches("), "@bytes(": ("binary(", "encode("), "@first(": ("substring(", "array_slice(")}

@@ -200,11 +200,25 @@ def test_limiters_against_plain_loops(spark, sf):
     rows = collections.defaultdict(list)
     for r in spark.read.parquet(f"{sf}/events.parquet").collect():
         rows[str(r.user_id)].append((r.ts.replace(tzinfo=dt.timezone.utc).timestamp(), r.event_id, r.value, r.event_type == "error"))
-    bucket, window, lock = {}, {}, {}
+    bucket, window, lock, bytes_, breaker = {}, {}, {}, {}, {}
     for user, events in rows.items():
         events.sort(key=lambda e: e[:2])
         tokens, last, admitted, fails, until = 3.0, None, [], [], -1.0
-        for ts, i, _, failed in events:
+        left, seen, opened, trial = 300.0, [], None, 0
+        for ts, i, size, failed in events:
+            left = left if last is None else min(300.0, left + (ts - last) * 1e-3)
+            bytes_[i] = left >= size
+            left -= size * bytes_[i]
+            # closed while opened is null; open for a day; then two good ones close it, a bad one opens it again
+            breaker[i] = opened is None or ts - opened >= 86400
+            if breaker[i] and opened is not None:
+                trial, opened = (0, ts) if failed else (trial + 1, opened)
+                if trial == 2:
+                    opened, trial, seen = None, 0, []
+            elif breaker[i]:
+                seen.append(failed)
+                if sum(seen) >= 3 and sum(seen) >= 0.1 * len(seen):
+                    opened, trial = ts, 0
             tokens = tokens if last is None else min(3.0, tokens + (ts - last) * 2e-5)
             last = ts
             bucket[i] = tokens >= 1
@@ -219,7 +233,7 @@ def test_limiters_against_plain_loops(spark, sf):
                 fails = [t for t in fails if t >= ts - 86400]
                 if len(fails) >= 3:
                     until, fails = ts + 43200, []
-    for name, want in (("limit_token_bucket", bucket), ("limit_sliding_window", window), ("login_lockout", lock)):
+    for name, want in (("limit_token_bucket", bucket), ("limit_sliding_window", window), ("login_lockout", lock), ("limit_bandwidth", bytes_), ("circuit_breaker", breaker)):
         assert {r.id: r.admitted for r in queries.QUERIES[name](spark, sf).collect()} == want, name
 
 
