@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import Chunks
-from .common import raw, session, shared_dir, staged, tasks_for, texts_of
+from .common import raw, session, texts_of
 
 #: Entries of the broadcast table; of a task's summary; of a summary before it is cut back.
 FREQUENT, SUMMARY, LOOSE = 20_000, 20_000, 200_000
