@@ -57,8 +57,7 @@ def time_of(text: Column) -> Column:
 
 def date_less(actual: Column, expected: Column) -> Column:
     """Order of two RFC 3339 times; of the texts if either is none."""
-    a, b = time_of(actual), time_of(expected)
-    return F.when(a.isNotNull() & b.isNotNull(), a < b).otherwise(actual < expected)
+    return F.coalesce(time_of(actual) < time_of(expected), actual < expected)
 
 
 def age_days(time: Column, as_of: Column) -> Column:

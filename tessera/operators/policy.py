@@ -37,11 +37,9 @@ def principal_matches(principals: Column, principal: Column) -> Column:
 
 def compare(op: Column, actual: Column, expected: Column) -> Column:
     o = F.lower(op)
-    like = glob_match(expected, actual)
-    inside = in_cidr(actual, expected)
-    before = date_less(actual, expected)
-    out = F.when(o.isin("stringequals", "stringlike"), like).when(o == "stringnotequals", ~like).when(o == "ipaddress", inside).when(o == "notipaddress", ~inside)
-    return out.when(o == "datelessthan", before).when(o == "dategreaterthan", ~before).when(o == "bool", F.lower(actual) == F.lower(expected)).otherwise(actual == expected)
+    plain = F.when(o.isin("stringequals", "stringlike", "stringnotequals"), glob_match(expected, actual)).when(o.isin("ipaddress", "notipaddress"), in_cidr(actual, expected))
+    plain = plain.when(o.isin("datelessthan", "dategreaterthan"), date_less(actual, expected)).when(o == "bool", F.lower(actual) == F.lower(expected)).otherwise(actual == expected)
+    return plain != o.isin("stringnotequals", "notipaddress", "dategreaterthan")  # each test stands once; these three want it false
 
 
 def conditions_match(conditions: Column, context: Column) -> Column:
