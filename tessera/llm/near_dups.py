@@ -257,6 +257,11 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(part), pa.array((n << 32) | at)], names=["h", "id", "part", "place"])
 
 
+def _shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), "<i8"))], names=["h"])
+
+
 def _sharing(percent: int):
     """Pairs (a, b) of different parts that meet at a near pair's first shared shingle, from rows sorted by (h, cell, role,
     part). Roles: 0 and 1 are the two sides of a cell of a split list, 2 is both."""
@@ -313,18 +318,21 @@ def _sharing(percent: int):
     return run
 
 
-def sharing(rare: DataFrame, parted: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes (id, part) of different parts that meet at a rare shingle as near pairs have to."""
+def sharing(rare: DataFrame, parted: DataFrame, percent: int, path: str) -> DataFrame:
+    """Pairs (a, b) of classes (id, part) of different parts that meet at a rare shingle as near pairs have to. The shingles
+    with long lists are a table first, so that Spark knows its size and postings are shuffled once."""
     rows = rare.join(parted.select("id", "part"), "id").select("id", "part", "n_shingles", "rare").mapInArrow(_spread, "h long, id long, part long, place long")
-    long = rows.groupBy("h").count().where(F.col("count") > LIST).select("h", F.ceil(F.col("count") / LIST).cast("int").alias("blocks"))
+    every = rare.select("rare").mapInArrow(_shingles_of, "h long")
+    long = staged(every.groupBy("h").count().where(F.col("count") > LIST).select("h", F.ceil(F.col("count") / LIST).cast("int").alias("blocks")), path)
+    short = rows.join(long, "h", "left_anti").repartition(tasks_for(rare.sparkSession), "h").sortWithinPartitions("h", "part")
+    short = short.select("h", F.lit(0).alias("cell"), F.lit(2).alias("role"), "id", "part", "place")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = lambda f: F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), f)
     sides = F.concat(other(lambda j: F.struct((own * F.col("blocks") + j).alias("cell"), F.lit(0).alias("role"))), other(lambda i: F.struct((i * F.col("blocks") + own).alias("cell"), F.lit(1).alias("role"))))
-    whole = F.array(F.struct(F.lit(0).alias("cell"), F.lit(2).alias("role")))
-    placed = rows.join(long, "h", "left").withColumn("c", F.explode(F.when(F.col("blocks").isNull(), whole).otherwise(sides)))
-    placed = placed.select("h", "c.cell", "c.role", "id", "part", "place")
-    dealt = placed.repartition(tasks_for(rare.sparkSession), "h", "cell").sortWithinPartitions("h", "cell", "role", "part")
-    return dealt.mapInArrow(_sharing(percent), "a long, b long").distinct()
+    placed = rows.join(long, "h").withColumn("c", F.explode(sides)).select("h", "c.cell", "c.role", "id", "part", "place")
+    split = placed.repartition(tasks_for(rare.sparkSession), "h", "cell").sortWithinPartitions("h", "cell", "role", "part")
+    found = [df.mapInArrow(_sharing(percent), "a long, b long") for df in (short, split)]
+    return found[0].unionAll(found[1]).distinct()
 
 
 def sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -392,7 +400,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     known = components(links, f"{path}/all")
     # then all pairs of different parts that share enough of their rarest shingles: exact
     rare = staged(rarest(docs, counts(sketched), k, percent), f"{path}/rare")
-    pairs = staged(sharing(rare, parted(known), percent).join(tested, ["a", "b"], "left_anti"), f"{path}/pairs-rare")
+    pairs = staged(sharing(rare, parted(known), percent, f"{path}/long").join(tested, ["a", "b"], "left_anti"), f"{path}/pairs-rare")
     remove(spark, f"{path}/rare")
     hashes = _more_sets(docs, pairs, hashes, k, f"{path}/sets-rare")
     made = staged(confirm(pairs, hashes, percent), f"{path}/links-rare")
