@@ -43,10 +43,10 @@ def valid_key(key: Column) -> Column:
 
 
 def parse_size(s: Column) -> Column:
-    """KB, MB, GB, TB (by 1024) or bytes; null if it is none."""
+    """KB, MB, GB, TB (by 1024) or bytes; null if it is none, and if it is more than 64 bits hold."""
     number, unit = F.regexp_extract(F.upper(F.trim(s)), r"^(\d+)\s*(KB|MB|GB|TB|B)?$", 1), F.regexp_extract(F.upper(F.trim(s)), r"^(\d+)\s*(KB|MB|GB|TB|B)?$", 2)
     scale = F.when(unit == "KB", 1 << 10).when(unit == "MB", 1 << 20).when(unit == "GB", 1 << 30).when(unit == "TB", 1 << 40).otherwise(1)
-    return F.when(number != "", F.expr("1") * number.try_cast("long") * scale)
+    return F.when(number != "", F.try_multiply(number.try_cast("long"), scale.cast("long")))
 
 
 def common_prefix(key: Column, prefix: str, delimiter: str) -> Column:

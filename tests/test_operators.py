@@ -271,6 +271,17 @@ def test_times_and_addresses(spark):
     assert _one(spark, network.host_of(F.lit("HTTPS://u:p@Ex.Org:1/x"))) == "ex.org"
 
 
+def test_sizes_beyond_64_bits(spark, tmp_path):
+    """Sizes of 2**63 bytes and more are none; the others of the table stay."""
+    read = lambda s: _one(spark, text.parse_size(F.lit(s)))
+    assert read("8388607TB") == 8388607 << 40 and read("9007199254740991 kb") == 9007199254740991 << 10 and read("9223372036854775807") == 2**63 - 1
+    assert [read(s) for s in ("8388608TB", "8589934592GB", "9223372036854775808", "-1KB")] == [None] * 4
+    keys = [8388600, 8388614, 8388615, 8388616]  # remainders 3, 3, 4, 5
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.bytes for r in queries.QUERIES["size_literals"](spark, str(tmp_path)).collect()}
+    assert [k % 7 for k in keys] == [3, 3, 4, 5] and got == {8388600: 8388600 << 40, 8388614: -1, 8388615: 8388615, 8388616: 8388616}
+
+
 def test_ages_by_whole_seconds(spark, tmp_path):
     """A backup made within a second after the end of the retention counts as made at that second, as in the SQL."""
     end = dt.datetime(2024, 1, 16)
