@@ -258,23 +258,40 @@ class IvfPq:
     def sizes(self) -> DataFrame:
         return self.lists().groupBy("cluster").agg(F.count("*").alias("n"))
 
-    def search(self, query: list[float], k: int = 20, nprobe: int = 10, filters: dict[str, str] | None = None, rerank: bool = False) -> DataFrame:
+    def search(self, query: list[float], k: int = 20, nprobe: int = 10, filters: dict[str, str] | None = None, rerank: bool = False, exact: bool = False) -> DataFrame:
         """id, score (1 / (1 + distance)) of about the k nearest: filter, then distances from the lookup table over the
         probed lists; where they hold fewer than k rows, the other lists are scanned exactly. rerank gives the probed
-        rows their exact distances."""
+        rows their exact distances. exact gives the k nearest of all rows: besides the probed lists, those are scanned that
+        can hold a row as near as the k-th of the probed ones."""
         if self.centroids is None:
             return search(self.lists(), query, k, "euclidean", filters)
         probed = near_clusters(list(enumerate(self.centroids.tolist())), query, min(nprobe, len(self.centroids)))
         rows = self.lists().where(matches(filters or {})) if filters else self.lists()
         inside, outside = rows.where(F.col("cluster").isin(probed)), rows.where(~F.col("cluster").isin(probed))
-        exact = lambda df: df.select("id", euclidean(F.col("values"), literal(query)).alias("distance"))
-        if rerank:
-            found = exact(inside).orderBy("distance", "id").limit(k)
+        scan = lambda df: df.select("id", euclidean(F.col("values"), literal(query)).alias("distance"))
+        if rerank or exact:
+            found = scan(inside).orderBy("distance", "id").limit(k)
         else:
             found = adc(inside, [b.tolist() for b in self.books], query, k).select("id", F.sqrt("distance").alias("distance"))
-        if found.count() < k:
-            found = found.unionByName(exact(outside))
-        return found.select("id", (1 / (1 + F.col("distance"))).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+        n, far = found.agg(F.count("*"), F.max("distance")).first()
+        if n < k:
+            found = found.unionByName(scan(outside))
+        elif exact:
+            reach = [int(i) for i in np.flatnonzero(self.bounds(query) <= far) if i not in probed]
+            found = found.unionByName(scan(outside.where(F.col("cluster").isin(reach))).where(F.col("distance") <= far))
+        return found.orderBy("distance", "id").limit(k).select("id", (1 / (1 + F.col("distance"))).alias("score"))
+
+    def bounds(self, query: list[float]) -> np.ndarray:
+        """The least distance from the query that a row of each list can have: a list's rows lie on its center's side of
+        the plane halfway to any other center."""
+        c, q = self.centroids, np.asarray(query, np.float64)
+        square = ((c - q) ** 2).sum(axis=1)
+        out = np.zeros(len(c))
+        for i, center in enumerate(c):
+            gap = np.sqrt(((c - center) ** 2).sum(axis=1))
+            other = gap > 0
+            out = np.maximum(out, np.where(other, (square - square[i]) / np.where(other, 2 * gap, 1), 0))
+        return out * (1 - 1e-9) - 1e-9 * np.sqrt(square.max(initial=0))  # less than rounding can move a row across
 
 
 def embed(text: Column, dim: int = 8) -> Column:

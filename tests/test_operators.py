@@ -138,6 +138,32 @@ def test_trained_lists(spark):
         vectors.IvfPq.build(df, "unused", slices=3)
 
 
+def test_lists_searched_exactly(spark):
+    """The probed list holds k rows, but nearer ones stand in other lists; lists that can't hold any aren't read."""
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(size=(1500, 4)), r.normal(size=(20, 4)) + 50])
+    x[700:710] = x[40]  # equal rows go by id
+    df = spark.createDataFrame([(i, v.tolist(), {"g": str(i % 3)}) for i, v in enumerate(x)], "id long, values array<double>, metadata map<string,string>")
+    centers = np.concatenate([x[:8], x[-1:], x[:1]])  # one center twice
+    index = vectors.IvfPq(spark, shared_folder(spark, "ivf"), centers, [x[:16, s : s + 1] for s in range(4)])
+    index.add(df)
+    probed = {i.id for i in index.lists().where("metadata['g'] = '1'").select("id", "cluster").collect() if i.cluster == vectors.near_clusters(list(enumerate(centers.tolist())), x[40].tolist(), 1)[0]}
+    assert len(probed) >= 12
+    for q in (x[40], x[1510], np.zeros(4)):
+        for g in (None, {"g": "1"}):
+            want = sorted((float(np.sqrt(((x[i] - q) ** 2).sum())), i) for i in range(len(x)) if g is None or i % 3 == 1)[:12]
+            got = index.search(q.tolist(), 12, 1, g, exact=True).collect()
+            assert [r.id for r in got] == [i for _, i in want]
+            assert np.allclose([r.score for r in got], [1 / (1 + d) for d, _ in want])
+    for q in (x[40], np.zeros(4)):
+        low, nearest = index.bounds(q.tolist()), collections.defaultdict(lambda: np.inf)
+        for row in index.lists().collect():
+            nearest[row.cluster] = min(nearest[row.cluster], float(np.sqrt(((np.array(row["values"]) - q) ** 2).sum())))
+        assert all(low[c] <= d for c, d in nearest.items()) and low[8] > 20
+    few = index.search(x[40].tolist(), 12, 1, {"g": "1"}, rerank=True).collect()
+    assert {r.id for r in few} <= probed
+
+
 def test_assignment_to_many_centers_is_planned_fast(spark):
     import time
 
