@@ -95,6 +95,81 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to 1; zero rows stay."""
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n > 0, n, 1)
+
+
+#: Bytes of queries that the driver and each task hold at once.
+BLOCK = 64 << 20
+
+
+def blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """ids and values of queries (id, values) in parts of about BLOCK bytes, dealt by a hash of the ids; one at least."""
+    n, width = queries.agg(F.count("*"), F.max(F.size("values"))).first()
+    parts = max(1, -(-n * (width or 0) * 8 // BLOCK))
+    for p in range(parts):
+        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p).select("id", "values").toArrow().combine_chunks()
+        x = [_matrix(c) for c in rows["values"].chunks if len(c)]
+        yield rows["id"].to_numpy().astype(np.int64), np.concatenate(x) if x else np.zeros((0, 0))
+
+
+def padded(who: np.ndarray, n: int, d: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """d and rows, sorted by who (0 to n - 1), as one line for each of n; inf and -1 behind."""
+    many = np.bincount(who, minlength=n)
+    at = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
+    out, of = np.full((n, many.max(initial=0)), np.inf, d.dtype), np.full((n, many.max(initial=0)), -1)
+    out[who, at], of[who, at] = d, rows
+    return out, of
+
+
+def merged(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k least distances of each line and their ids; the smaller id goes first."""
+    order = np.lexsort((ids, d), axis=1)[:, :k]
+    return np.take_along_axis(d, order, axis=1), np.take_along_axis(ids, order, axis=1)
+
+
+def exact_neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query, id, distance (1 - cosine) of the k nearest rows (id, values) to each query (id, values). Every row is compared
+    with every query: products in single precision leave out what is farther than the k-th found by more than
+    their error, the others are worked out in doubles. A task hands on k rows a query."""
+    rows = None
+    for ids, q in blocks(queries):
+        sent = vectors.sparkSession.sparkContext.broadcast((ids, unit(q)))
+        few = vectors.select("id", "values").coalesce(4 * vectors.sparkSession.sparkContext.defaultParallelism)
+        found = few.mapInArrow(_scanned(sent, k), "query long, id long, distance double")
+        rows = found if rows is None else rows.unionAll(found)
+    best = rows.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "id"))), 1, k).alias("b"))  # k rows a task and query
+    return best.select("query", F.explode("b").alias("b")).select("query", "b.id", "b.distance")
+
+
+def _scanned(sent, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, q = sent.value
+        small, margin = q.astype(np.float32), np.float32(1e-6 + 2.4e-7 * q.shape[1])
+        top, who = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
+        for b in batches:
+            ids, values = b.column(0).to_numpy(), unit(_matrix(b.column(1)))
+            for j in range(0, len(b) if len(q) else 0, 4096):
+                x = values[j : j + 4096]
+                t = np.ascontiguousarray(x.astype(np.float32).T)
+                for i in range(0, len(q), 512):
+                    d = -(small[i : i + 512] @ t)
+                    limit = top[i : i + 512, -1].astype(np.float32) - 1
+                    if len(x) > k and not np.isfinite(limit).all():
+                        limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
+                    line, row = np.nonzero(d <= (limit + margin)[:, None])
+                    if len(line):
+                        own, place = np.unique(line, return_inverse=True)
+                        d, of = padded(place, len(own), 1 - np.einsum("ij,ij->i", q[i + line], x[row]), ids[j + row])
+                        top[i + own], who[i + own] = merged(np.hstack([top[i + own], d]), np.hstack([who[i + own], of]), k)
+        there = np.isfinite(top)
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(numbers[:, None], top.shape)[there]), pa.array(who[there]), pa.array(top[there])], names=["query", "id", "distance"])
+
+    return run
+
+
 def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest center of each row by L2 (the first of equally near ones) and its distance."""
     best = np.concatenate([(np.einsum("ij,ij->i", centers, centers) - 2 * x[i : i + 4096] @ centers.T).argmin(axis=1) for i in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])

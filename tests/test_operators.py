@@ -125,6 +125,49 @@ def test_graph_recall(spark):
         assert hit / 300 >= 0.9
 
 
+def test_many_queries_stay_off_the_plan(spark, tmp_path):
+    """2,000 queries in parts against all rows, exactly, with equal rows and a zero one; graph_recall of many queries is
+    planned in parts as well (a plan with a branch a query took minutes and the driver's memory)."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(6000, 6))
+    x[5990:] = x[:10] * 2  # equally near by cosine
+    x[17] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, values array<double>").repartition(3)
+    block, vectors.BLOCK = vectors.BLOCK, 40_000
+    try:
+        got = collections.defaultdict(list)
+        for row in vectors.exact_neighbours(df, df.where("id % 3 = 0"), 7).collect():
+            got[row["query"]].append((row.distance, row.id))
+    finally:
+        vectors.BLOCK = block
+    u = graph._rows(x, "cosine")
+    d = 1 - u @ u.T
+    assert sorted(got) == list(range(0, 6000, 3))
+    for q, rows in got.items():
+        rows.sort()
+        assert np.allclose([a for a, _ in rows], np.sort(d[q])[:7], atol=1e-12) and np.allclose([d[q, i] for _, i in rows], [a for a, _ in rows], atol=1e-12) and len({i for _, i in rows}) == 7
+    n = 30_000
+    spark.createDataFrame([(i, v.tolist(), i % 10) for i, v in enumerate(r.normal(size=(n, 6)).astype(np.float32))], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = queries.QUERIES["graph_recall"](spark, str(tmp_path))
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 50_000
+    assert [tuple(row) for row in df.collect()] == [(300, True)]
+
+
+def test_links_are_the_nearest():
+    """Links found by the least of groups against a full sort, with equal rows."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(700, 5))
+    x[300:420] = x[7]
+    for metric in ("cosine", "euclidean", "dot"):
+        rows = graph._rows(x, metric)
+        made = graph.link(rows, metric)
+        for i in range(0, 700, 7):
+            d = graph.distances(rows, rows[i], metric)
+            d[i] = np.inf
+            linked = made[i, : graph.M0]
+            assert np.allclose(np.sort(d[linked[linked >= 0]])[: graph.M], np.sort(d)[: graph.M], atol=1e-6)
+
+
 def test_trained_lists(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(20, 8))[r.integers(0, 20, 800)] * 3 + 0.2 * r.normal(size=(800, 8))
