@@ -1,9 +1,32 @@
-"""A two-generation cache for results of pre-tokens, kept by each Python worker between tasks."""
+"""A two-generation cache for results of pre-tokens, kept by each Python worker between tasks of its operator."""
 
 from __future__ import annotations
 
+import ctypes
+import weakref
 from collections.abc import Callable
 
+_filled: weakref.WeakValueDictionary[int, Chunks] = weakref.WeakValueDictionary()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def drop_all() -> None:
+    """Empty this process's caches: operators that use none call it, so that a worker that goes on from an operator's
+    tasks to another's doesn't hold both's memory."""
+    if _filled:
+        for c in list(_filled.values()):
+            c.clear()
+            c.old.clear()
+        _filled.clear()
+        trim()
+
 
 class Chunks(dict):
     """chunk -> value; when `most` chunks are held, those not asked for since the last turn are dropped.
@@ -26,6 +49,7 @@ class Chunks(dict):
         wanted = {many[k][i] for k, at in holes for i in at}
         if first is not None:
             wanted.difference_update(self)
+        _filled[id(self)] = self
         new, old = [], self.old
         for c in wanted:
             v = old.get(c)

@@ -17,6 +17,8 @@ from ..session import reachable
 
 #: Rows an Arrow batch to Python holds at most, so that batches of long texts stay small.
 ARROW_ROWS = 1000
+#: Bytes of a row group in tables of long rows.
+LONG_ROWS_BYTES = 4 << 20
 #: Bytes of text the NumPy kernels take at once.
 SLICE_BYTES = 1 << 20
 
@@ -26,6 +28,7 @@ def session(spark: SparkSession) -> SparkSession:
     reachable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(ARROW_ROWS))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
@@ -81,9 +84,16 @@ def _quietly_remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def staged(df: DataFrame, path: str, *partition: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: a lost executor costs no more than its tasks."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+def staged(df: DataFrame, path: str, long_rows: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: a lost executor costs no more than its tasks.
+
+    long_rows: for rows of megabytes. Parquet looks at the size of a page or row group only every 100 rows, and a reader
+    holds a row group's page and batch, so these get a row group for each few rows.
+    """
+    writer = df.write.mode("overwrite").option("compression", "zstd")
+    if long_rows:
+        writer = writer.option("parquet.page.size.row.check.min", "1").option("parquet.block.size", str(LONG_ROWS_BYTES))
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

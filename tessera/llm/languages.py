@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words
+from .chunks import drop_all
 from .common import raw, scratch, session, shared_dir, slices, staged, texts_of, without
 
 #: Texts a language is fitted on at most, and how many times as many are drawn.
@@ -43,6 +44,7 @@ _LETTER[0x7B:0x80] = False
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each row's trigrams of letters, with the word's edges as spaces, and each one's row."""
+    drop_all()
     o = offsets - offsets[0]
     n = int(o[-1])
     b = np.where(_LETTER[data[:n]], _FOLD[data[:n]], 0x20).astype(np.uint32)

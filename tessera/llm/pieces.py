@@ -146,7 +146,12 @@ class PieceModel:
                 ids = self.encode_chunk(c)
                 if (ids if c[0] == _MARK else [self.id[_MARK], *ids]) != e and c != _MARK:
                     raise AssertionError(f"the library encodes {c!r} as {e}, the agenda as {ids}")
-                self.cache[key] = (",".join(map(str, ids)), (" " if c[0] == _MARK else "") + self.decode(ids))
+                decimals, decoded = ",".join(map(str, ids)), (" " if c[0] == _MARK else "") + self.decode(ids)
+                # most chunks decode to themselves, so the cache holds the others' texts only
+                self.cache[key] = decimals if decoded == c.replace(_MARK, " ") else (decimals, decoded)
+
+    def decoded(self, key: str, value: str | tuple[str, str]) -> str:
+        return self.chunk(key).replace(_MARK, " ") if isinstance(value, str) else value[1]
 
 
 def _utf8(run: bytearray) -> str:
@@ -170,9 +175,13 @@ def model(path: str) -> PieceModel:
 
 def _joined(m: PieceModel, texts: list[str]) -> Iterator[tuple[str, str]]:
     """Ids (as decimal text with commas) and decoded text of each text."""
-    for found in m.cache.look([m.chunks(t) for t in texts], m.learn):
-        # a text's first mark is no part of it
-        yield ",".join([f[0] for f in found]), "".join([f[1] for f in found])[1:]
+    many = [m.chunks(t) for t in texts]
+    for text, keys, found in zip(texts, many, m.cache.look(many, m.learn), strict=True):
+        try:
+            ids, decoded = ",".join(found), text.replace(_MARK, " ")
+        except TypeError:  # some chunk has a text of its own; a text's first mark is no part of it
+            ids, decoded = ",".join([f if isinstance(f, str) else f[0] for f in found]), "".join(map(m.decoded, keys, found))[1:]
+        yield ids, decoded
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from .chunks import drop_all
+
 U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240131))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=U64) | U64(1)
@@ -108,6 +110,7 @@ class Words:
 
 def split(data: np.ndarray, offsets: np.ndarray, rule: str, fold: bool = False) -> Words:
     """The words of rows data[offsets[i]:offsets[i+1]]."""
+    drop_all()
     offsets = offsets - offsets[0] + 0
     n = int(offsets[-1])
     w = IS_WORD[rule][data[:n]]
