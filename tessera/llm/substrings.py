@@ -176,7 +176,7 @@ class SubstringLog:
                 yield out(0, len(ids))
 
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        return staged(rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(units, _UNITS), self._table("units"))
+        return staged(rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(units, _UNITS), self._table("units"), long_rows=True)
 
     def _run(self, units: DataFrame) -> DataFrame:
         size, gram, bits = self.size, self.gram, self.bits
@@ -333,8 +333,9 @@ def _entries(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gathered(bits: DataFrame, name: str) -> DataFrame:
-    """One row a unit: its buckets' bits (about a byte for 8 of the unit's keys)."""
-    return bits.groupBy("unit").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
+    """One row a unit: its buckets' bits (about a byte for 8 of the unit's keys). Joined by hash, as units' texts are rows of
+    megabytes, which a merge would sort."""
+    return bits.groupBy("unit").agg(F.collect_list(F.struct("bucket", "bits")).alias(name)).hint("shuffle_hash")
 
 
 def _selected(u: Unit, shared: list[dict] | None, bits: int):

@@ -1,9 +1,13 @@
 """What Python workers and tables of long rows hold at once."""
 
+import glob
+
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 
-from tessera.llm import languages, pieces, token_files, words
+from tessera.llm import languages, pieces, substrings, token_files, words
+from tessera.llm.common import shared_dir
 
 
 def test_other_operators_empty_caches():
@@ -26,3 +30,15 @@ def test_pieces_cache_holds_ids_once():
     m.cache["words\nand"] = m.cache["words"] = ("7", " other")  # a chunk with a text of its own
     (ids, text) = next(pieces._joined(m, ["plain words"]))
     assert ids.endswith(",7") and text == "plain other"
+
+
+def test_units_stand_in_small_row_groups(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "UNIT_BYTES", 1 << 19)
+    rng = np.random.default_rng(5)
+    rows = [(i, bytes(rng.integers(0x61, 0x7B, 1 << 19, np.uint8)).decode()) for i in range(30)]
+    path = shared_dir(spark, "units")
+    log = substrings.SubstringLog(spark, path, 13)
+    log._units(spark.createDataFrame(rows, "doc_id long, text string"), 1).count()
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{path.removeprefix('file:')}/units-*/part*.parquet")]
+    sizes = [f.row_group(g).total_byte_size for f in files for g in range(f.num_row_groups)]
+    assert sum(f.num_rows for f in files) >= 15 and max(sizes) < 8 << 20
