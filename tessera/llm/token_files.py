@@ -65,6 +65,11 @@ class ByteLevelEncoder:
         self.kind = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache = Chunks(keep)
         self.special, self.marks = set(added), {}
+        #: Ids whose bytes begin with a space, if nothing else in the vocabulary can part or join chunks at one.
+        self.leads = None
+        if self.lib.normalizer is None and not any(" " in t for t in added):
+            self.leads = np.zeros(max(self.lib.get_vocab(True).values(), default=0) + 1, bool)
+            self.leads[[i for t, i in self.lib.get_vocab(False).items() if t[:1] == "\u0120"]] = True
 
     def chunks(self, text: str) -> list[str]:
         """The cache's keys for a text: \x01 and a chunk; in texts with single spaces and line feeds only, a word
@@ -106,7 +111,27 @@ class ByteLevelEncoder:
             cache[c] = cache[word] + self.marks[c[-1]]
 
     def learn_chunks(self, new: list[str]) -> None:
-        """Many chunks go to the library as one text, with a special string between them: such strings part a text."""
+        """Many chunks go to the library as one text. Words behind a space need nothing between them: the rule parts a text
+        before a single space, so each one's ids begin with the only id that begins with a space."""
+        if self.leads is None:
+            return self.learn_marked(new)
+        plain, other = [], []
+        for c in new:
+            (plain if c and c[0] not in "\x00\x01\n" else other).append(c)
+        width = self.kind.itemsize
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            ids = np.array(self.lib.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            starts = np.flatnonzero(self.leads[ids])
+            if len(starts) != len(part) or starts[0]:
+                other += part
+                continue
+            data, ends = ids.tobytes(), [*(starts * width).tolist(), len(ids) * width]
+            self.cache.update(zip(part, [data[x:y] for x, y in zip(ends, ends[1:])], strict=True))  # noqa: B905
+        self.learn_marked(other)
+
+    def learn_marked(self, new: list[str]) -> None:
+        """The same with a special string between chunks of any kind: such strings part a text."""
         chunk, width = self.chunk, self.kind.itemsize
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
